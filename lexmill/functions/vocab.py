@@ -24,26 +24,26 @@ ROMAN = r"M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
 
 # Reference patterns in their order, with the type each gives.
 REFERENCES = [
-    (r"(?iu)section[\s\x1c-\x1f]+(\d+)", "section"),
-    (r"(?iu)subsection[\s\x1c-\x1f]*\((\d+)\)", "subsection"),
-    (r"(?iu)rule[\s\x1c-\x1f]+(\d+)", "rule"),
-    (r"(?iu)article[\s\x1c-\x1f]+(\d+)", "article"),
-    (r"(?iu)chapter[\s\x1c-\x1f]+([IVXLCDM]+)", "chapter"),
-    (r"(?iu)schedule[\s\x1c-\x1f]+([IVXLCDM]+)", "schedule"),
-    (r"(?iu)clause[\s\x1c-\x1f]+(\d+)", "clause"),
-    (r"(?iu)regulation[\s\x1c-\x1f]+(\d+)", "regulation"),
-    (r"\b[Tt]his[\s\x1c-\x1f]+Act\b", "act"),
-    (r"\b[Tt]hat[\s\x1c-\x1f]+Act\b", "act"),
-    (r"\b[Tt]he[\s\x1c-\x1f]+Rules\b", "rules"),
-    (r"\b[Tt]he[\s\x1c-\x1f]+Code\b", "code"),
+    (r"(?iuU)section[\s\x1c-\x1f]+(\d+)", "section"),
+    (r"(?iuU)subsection[\s\x1c-\x1f]*\((\d+)\)", "subsection"),
+    (r"(?iuU)rule[\s\x1c-\x1f]+(\d+)", "rule"),
+    (r"(?iuU)article[\s\x1c-\x1f]+(\d+)", "article"),
+    (r"(?iuU)chapter[\s\x1c-\x1f]+([IVXLCDM]+)", "chapter"),
+    (r"(?iuU)schedule[\s\x1c-\x1f]+([IVXLCDM]+)", "schedule"),
+    (r"(?iuU)clause[\s\x1c-\x1f]+(\d+)", "clause"),
+    (r"(?iuU)regulation[\s\x1c-\x1f]+(\d+)", "regulation"),
+    (r"(?U)\b[Tt]his[\s\x1c-\x1f]+Act\b", "act"),
+    (r"(?U)\b[Tt]hat[\s\x1c-\x1f]+Act\b", "act"),
+    (r"(?U)\b[Tt]he[\s\x1c-\x1f]+Rules\b", "rules"),
+    (r"(?U)\b[Tt]he[\s\x1c-\x1f]+Code\b", "code"),
 ]
 
 # Patterns the graph resolver adds.
 FALLBACK_REFERENCES = [
-    (r"(?iu)\bpart[\s\x1c-\x1f]+([IVXLCDM]+|\d+)", "part"),
-    (r"(?iu)\bclause[\s\x1c-\x1f]+\(([a-z])\)", "clause"),
-    (r"(?iu)\bExplanation\b", "explanation"),
-    (r"(?iu)\bProviso\b", "proviso"),
+    (r"(?iuU)\bpart[\s\x1c-\x1f]+([IVXLCDM]+|\d+)", "part"),
+    (r"(?iuU)\bclause[\s\x1c-\x1f]+\(([a-z])\)", "clause"),
+    (r"(?iuU)\bExplanation\b", "explanation"),
+    (r"(?iuU)\bProviso\b", "proviso"),
 ]
 
 # Dictionary terms of the three entity dictionaries.
@@ -56,13 +56,13 @@ MONTH = "(?:January|February|March|April|May|June|July|August|September|October|
 
 # Time and date patterns in their order: pattern, entity type, method, confidence.
 TIMES = [
-    (r"(?iu)\b\d+[\s\x1c-\x1f]*days?\b", "TIME", "time_duration", 0.9),
-    (r"(?iu)\bimmediately\b", "TIME", "time_adverb", 0.9),
-    (r"(?iu)\bwithin[\s\x1c-\x1f]+\d+[\s\x1c-\x1f]*days?\b", "TIME", "time_duration", 0.9),
-    (r"(?iu)\bbefore[\s\x1c-\x1f]+processing\b", "TIME", "time_event", 0.85),
-    (rf"\b\d{{1,2}}[\s\x1c-\x1f]+{MONTH}[\s\x1c-\x1f]+\d{{4}}\b", "DATE", "date_explicit", 1.0),
-    (r"\b\d{1,2}/\d{1,2}/\d{4}\b", "DATE", "date_explicit", 1.0),
-    (r"\b\d{4}-\d{2}-\d{2}\b", "DATE", "date_iso", 1.0),
+    (r"(?iuU)\b\d+[\s\x1c-\x1f]*days?\b", "TIME", "time_duration", 0.9),
+    (r"(?iuU)\bimmediately\b", "TIME", "time_adverb", 0.9),
+    (r"(?iuU)\bwithin[\s\x1c-\x1f]+\d+[\s\x1c-\x1f]*days?\b", "TIME", "time_duration", 0.9),
+    (r"(?iuU)\bbefore[\s\x1c-\x1f]+processing\b", "TIME", "time_event", 0.85),
+    (rf"(?U)\b\d{{1,2}}[\s\x1c-\x1f]+{MONTH}[\s\x1c-\x1f]+\d{{4}}\b", "DATE", "date_explicit", 1.0),
+    (r"(?U)\b\d{1,2}/\d{1,2}/\d{4}\b", "DATE", "date_explicit", 1.0),
+    (r"(?U)\b\d{4}-\d{2}-\d{2}\b", "DATE", "date_iso", 1.0),
 ]
 
 # Words that make a clause a statement.
@@ -80,7 +80,7 @@ ABBREVIATIONS = ["e.g.", "i.e.", "etc.", "et al.", "vs.", "Mr.", "Mrs.", "Ms.",
 
 # First words of chapter titles, and the pattern of their numbers.
 CHAPTER_WORDS = ["chapter", "ch", "article", "schedule", "part", "title", "book"]
-CHAPTER_NUMBER = r"(?iu)^(?:chapter|ch\.?|article|schedule|part|title|book)[\s\x1c-\x1f]+(\d+|[IVXLCDM]+)"
+CHAPTER_NUMBER = r"(?iuU)^(?:chapter|ch\.?|article|schedule|part|title|book)[\s\x1c-\x1f]+(\d+|[IVXLCDM]+)"
 
 # Labels and relationship types a validated graph may hold.
 NODE_LABELS = (
