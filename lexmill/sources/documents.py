@@ -146,7 +146,7 @@ def load(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFram
 
 
 def scan(spark: SparkSession, paths: str | list[str], parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """LOADED rows of all files under the paths (folders, files or patterns)."""
+    """LOADED rows of all files under the paths (folders, files or patterns). Spark's scan leaves files of no bytes out."""
     return load(spark.read.format("binaryFile").load(paths).select("path", "content"), parsers)
 
 
