@@ -3,7 +3,7 @@
 Method: vertical partitioning. The word n-grams of all texts have one global order, rarest first; that order is cut into
 fragments; the overlap of a pair is counted in each fragment separately and summed. Pairs are only counted where their
 prefixes (the rarest n-grams, of which a similar pair must share one) meet under the length and position filters, so no
-n-gram's records are paired with each other as such. Texts of the same words are one class throughout.
+n-gram's records are paired with each other as such; sketches of the fragments rule out most of what meets. Texts of the same words are one class throughout.
 """
 
 from __future__ import annotations
@@ -32,51 +32,72 @@ def classes_of(df: DataFrame, keys: list[str], text: str, least_words: int) -> D
 
 
 def similar_classes(members: DataFrame, work: Workspace, width: int, threshold: str, fragments: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes whose sets of `width` consecutive words have a Jaccard similarity of `threshold`
+    """Pairs (a, b) of classes whose sets of `width` consecutive words have a Jaccard similarity of `threshold`
     or more, with the sizes of both sets and of their overlap."""
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
-    up = lambda x, of: F.ceil((x * num) / (of * 1.0))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - (width - 1)), lambda i: F.xxhash64(*[F.element_at("words", (i + k).cast("int")) for k in range(width)]))
     sets = members.where(F.size("words") >= width).groupBy("class").agg(F.first("words").alias("words")).select("class", F.array_distinct(grams).alias("grams"))
-    sets = work.write(sets.select("class", F.size("grams").alias("n"), "grams"))
-    postings = sets.select("class", "n", F.explode("grams").alias("gram"))
+    # ids are numbered once, as the table is written
+    sets = work.write(sets.select(F.monotonically_increasing_id().alias("id"), "class", F.size("grams").alias("n"), "grams"))
+    postings = sets.select("id", "n", F.explode("grams").alias("gram"))
     counts = work.write(postings.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
-    # place in the global order: rarer first, then by hash; n-grams of one class alone come before all and never match
-    place = F.col("df") + (F.col("gram") / F.lit(2.0**64) + 0.5)
-    pivots = counts.agg(F.percentile_approx(place, [k / fragments for k in range(1, fragments)], F.lit(1000)).alias("p")).first().p or []
-    fragment = lambda at: sum(((at > F.lit(p)).cast("int") for p in pivots), F.lit(0))
-    shared = postings.join(counts, "gram").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"))
-    shared = work.write(shared)
-    # prefix: the first n - ceil(t n) + 1 n-grams, of which n - size(order) belong to one class alone
-    lone = F.col("n") - F.size("order")
-    length = F.greatest(F.lit(0), F.least(F.size("order"), F.col("n") - up(F.col("n"), den) + 1 - lone)).cast("int")
-    prefix = shared.select("class", "n", lone.alias("lone"), F.posexplode(F.slice("order", F.lit(1), length)).alias("k", "x"))
-    prefix = prefix.select("class", "n", (F.col("lone") + F.col("k")).alias("at"), "x.gram", F.ceil(F.col("x.df") / BLOCK).cast("int").alias("blocks"))
-    prefix = prefix.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # the global order goes by frequency, then by hash; n-grams of one class alone come before all and never match. It is
+    # cut where the fragments hold about as many occurrences each, by a histogram of some hundred buckets at most
+    buckets = counts.groupBy(F.floor(F.log2("df") * 8).alias("b")).agg(F.max("df").alias("top"), F.sum("df").alias("weight")).orderBy("b").collect()
+    whole, so_far, pivots = sum(r.weight for r in buckets), 0, []
+    for r in buckets:
+        so_far += r.weight
+        if len(pivots) < fragments - 1 and so_far * fragments >= whole * (len(pivots) + 1):
+            pivots.append(r.top)
+    fragment = lambda x: sum(((x["df"] > F.lit(p)).cast("int") for p in pivots), F.lit(0))
+    shared = postings.join(counts, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    # a sketch of 64 bits a fragment: the parity of the n-grams that fall on each bit. Two records differ in at least as
+    # many n-grams as their sketches have different bits, which bounds the overlap from above before it is counted
+    bit = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x["gram"], F.lit(64)).cast("int")))
+    part = lambda f: F.filter("order", lambda x: fragment(x) == f)
+    sketches = [F.aggregate(part(F.lit(f)), F.lit(0).cast("long"), bit).alias(f"s{f}") for f in range(fragments)]
+    shared = work.write(shared.select("id", "n", "order", F.size("order").alias("m"), *sketches))
+    # prefix: the first n - ceil(t n) + 1 n-grams, of which n - m belong to one class alone
+    lone = F.col("n") - F.col("m")
+    length = F.greatest(F.lit(0), F.least(F.col("m"), F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1 - lone)).cast("int")
+    prefix = shared.select("id", "n", "m", *[f"s{f}" for f in range(fragments)], F.posexplode(F.slice("order", F.lit(1), length)).alias("k", "x"))
+    prefix = prefix.select("*", (lone + F.col("k")).alias("at"), "x.gram", F.ceil(F.col("x.df") / BLOCK).cast("int").alias("blocks")).drop("k", "x")
+    prefix = prefix.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # every pair of blocks of an n-gram meets once: the left side goes to its own block and the later ones
-    left = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), "gram", F.col("block").alias("ba"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    left = left.where("ba <= block")
-    right = prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), "gram", "block")
-    need = F.ceil((F.col("na") + F.col("nb")) * (num / (num + den)) - 1e-9)
-    met = left.join(right, ["gram", "block"]).where(
-        ((F.col("ba") < F.col("block")) | (F.col("a") < F.col("b")))
-        & (F.col("a") != F.col("b"))
-        & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    named = lambda df, side: df.select("gram", "block", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "m", "at", *(f"s{f}" for f in range(fragments)))], *([F.col("own")] if side == "a" else []))
+    left = named(prefix.withColumnRenamed("block", "own").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= block"), "a")
+    right = named(prefix, "b")
+    total = F.col("a_n") + F.col("b_n")
+    need = F.ceil(total * (num / (num + den)) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"a_s{f}").bitwiseXOR(F.col(f"b_s{f}"))) for f in range(fragments)), F.lit(0))
+    # the work of this join grows with the pairs that meet, not with its input, by whose size tasks would be merged
+    session = members.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    met = left.repartition(tasks, "gram", "block").join(right.repartition(tasks, "gram", "block"), ["gram", "block"]).where(
+        ((F.col("own") < F.col("block")) | (F.col("a_id") < F.col("b_id")))
+        & (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+        & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need)
+        & (F.col("a_m") + F.col("b_m") - apart >= need * 2)
     )
-    first = F.col("a") < F.col("b")
-    pairs = met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    first = F.col("a_id") < F.col("b_id")
+    sided = lambda c: [F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))]
+    (a, b), (na, nb) = sided("id"), sided("n")
+    pairs = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
     # the order cut into fragments, and each pair's overlap counted fragment by fragment
-    cut = shared.select("class", F.explode("order").alias("x")).select("class", "x.gram", fragment(F.col("x.df") + (F.col("x.gram") / F.lit(2.0**64) + 0.5)).alias("f"))
-    cut = work.write(cut.groupBy("class", "f").agg(F.collect_list("gram").alias("grams")))
+    pairs = work.write(pairs)
+    paired = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    cut = shared.join(paired, "id", "left_semi").select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda f: F.struct(f.alias("f"), F.transform(part(f), lambda x: x["gram"]).alias("grams")))).alias("x")).select("id", "x.f", "x.grams")
     partial = (
-        pairs.join(cut.select(F.col("class").alias("a"), "f", F.col("grams").alias("ga")), "a")
-        .join(cut.select(F.col("class").alias("b"), "f", F.col("grams").alias("gb")), ["b", "f"])
+        pairs.join(cut.select(F.col("id").alias("a"), "f", F.col("grams").alias("ga")), "a")
+        .join(cut.select(F.col("id").alias("b"), "f", F.col("grams").alias("gb")), ["b", "f"])
         .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     )
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-    return work.write(summed.where(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num))
+    found = work.write(summed.where(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num))
+    names = sets.select(F.col("id"), "class")
+    out = found.join(names.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(names.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b")
+    return work.write(out.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb", "overlap"))
 
 
 def near_duplicates(df: DataFrame, keys: list[str], text: str, width: int = WIDTH, threshold: str = THRESHOLD, least_words: int = 0, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
