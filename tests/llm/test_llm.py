@@ -194,9 +194,10 @@ def test_leaks_match_brute_force(spark):
 
 
 def test_reparameterised(spark):
-    q = "In {} the {} bridge near {} was built by {} workers in {} days over {} km of river"
-    items = spark.createDataFrame([(1, q.format(1906, "old", "Marholm", 300, 90, 12)), (2, "in the old bridge was built by workers days over of river near km")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, q.format(1951, "old", "Venholt", 421, 33, 8)), (2, q.format(1951, "old", "Venholt", 421, 421, 8)), (3, q.format(1906, "old", "Marholm", 300, 90, 12))], "doc_id long, text string")
+    # 13 words, so one window: consistency is told window by window
+    q = "In {} the {} bridge near {} was built by {} in {}"
+    items = spark.createDataFrame([(1, q.format(1906, "old", "Marholm", 300, 90)), (2, "in the old bridge was built by near")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, q.format(1951, "old", "Venholt", 421, 33)), (2, q.format(1951, "old", "Venholt", 421, 421)), (3, q.format(1906, "old", "Marholm", 300, 90))], "doc_id long, text string")
     assert [(r.item_id, r.doc_id) for r in leakage.reparameterised(items, docs).collect()] == [(1, 1)]
 
 
