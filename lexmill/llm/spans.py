@@ -200,7 +200,7 @@ def search_shard(segments: list[str], labels: np.ndarray, least: int) -> tuple[n
     return np.where(whole, 0, begin), np.where(whole, size, end)
 
 
-def shard_stretches(classes: DataFrame, least: int) -> DataFrame:
+def shard_stretches(classes: DataFrame, least: int, shards: int) -> DataFrame:
     """From (shard, class, segment, page or -1 per shard-local label): class, begin, end."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +211,8 @@ def shard_stretches(classes: DataFrame, least: int) -> DataFrame:
         out = pd.DataFrame({"class": rows["class"], "begin": begin.astype(np.int32), "end": end.astype(np.int32)})
         return out[out["begin"] >= 0]
 
-    return classes.groupBy("shard").applyInPandas(run, "class binary, begin int, end int")
+    # so many partitions that no task gets several shards where cores are free; adaptive merging would go by bytes
+    return classes.repartition(shards, "shard").groupBy("shard").applyInPandas(run, "class binary, begin int, end int")
 
 
 def hot_stretches(classes: DataFrame, least: int) -> DataFrame:
@@ -269,7 +270,7 @@ def shared_spans(docs: DataFrame, doc_key: str = "doc_id", page_key: str = "page
     total = classes.count()
     shards = max(1, -(-total // CLASSES_A_SHARD))
     normal = counted.where(F.col("n") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    found = shard_stretches(normal.select("shard", "class", "segment", "first_page", "several"), least)
+    found = shard_stretches(normal.select("shard", "class", "segment", "first_page", "several"), least, shards)
     if counts.where(F.col("n") > hot).limit(1).count():
         found = found.unionAll(hot_stretches(counted.where(F.col("n") > hot), least))
     placed = segments.join(found, "class").select("doc", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")).distinct()
