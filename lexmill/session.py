@@ -51,7 +51,6 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.count += 1
@@ -60,17 +59,23 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
+        if self.count == 1:
+            # gone when the driver ends; nothing that is still read is deleted earlier
+            where, files = self.files(self.root)
+            files.deleteOnExit(where)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._lexmill_path = path
         return back
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_lexmill_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = self.files(path)
+            files.delete(where, True)
+
+    def files(self, path: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
