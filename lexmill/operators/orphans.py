@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.session import Workspace
@@ -109,3 +109,30 @@ def replay(references: DataFrame, parents: DataFrame, cuts: list[datetime], rule
         state = apply_batch(state, references.where(within), parents.where(within), work, rule)
         shots.append(snapshot(state, F.lit(str(high) if high is not None else "end"), rule))
     return state, shots
+
+
+def snapshots(references: DataFrame, parents: DataFrame, cuts: list[datetime]) -> DataFrame:
+    """The snapshots of replay(references, parents, cuts) under the rule `any`, without the states in between.
+
+    A reference's reason at a time follows from its own arrival, its parent's first row and its parent's first live row.
+    So each has a stretch of slices as missing, as deleted and as late; starts and ends of stretches are counted and
+    summed up over the slices, and no reference is repeated for each slice it waits."""
+    end, start = len(cuts), F.lit("0001-01-01").cast("timestamp_ntz")
+    limits = F.array(*[F.lit(str(c)).cast("timestamp_ntz") for c in cuts]) if cuts else F.array().cast("array<timestamp_ntz>")
+    # the slice in which a time falls; rows without a time come with the first slice
+    slice_of = lambda at: F.size(F.filter(limits, lambda c: c < at))
+    index = parents.groupBy(*PARENT).agg(F.min("at").alias("first_at"), F.min(F.when(~F.col("deleted"), F.coalesce("at", start))).alias("live_at"))
+    told = references.groupBy(*REFERENCE).agg(F.min("at").alias("at")).join(index, PARENT, "left")
+    never = F.lit(end + 1)
+    slot = lambda c: F.when(F.col(c).isNull(), never).otherwise(slice_of(F.col(c)))
+    told = told.withColumn("came", slice_of(F.coalesce("at", start))).withColumn("known", slot("first_at")).withColumn("live", slot("live_at"))
+    there = F.greatest("came", "known")
+    stretches = [("missing", F.col("came"), F.col("known")), ("deleted", there, F.col("live")), ("late", F.greatest(there, F.col("live")), F.when(F.col("first_at") > F.col("at"), never).otherwise(0))]
+    told = told.select("table_name", "field_name", F.date_format("at", "yyyy-MM").alias("period"), F.explode(F.array(*[F.struct(F.lit(why).alias("reason"), low.alias("low"), high.alias("high")) for why, low, high in stretches])).alias("x")).where("x.low < x.high")
+    group = ["table_name", "field_name", "period", "reason"]
+    steps = told.select(*group[:3], "x.reason", F.explode(F.array(F.struct(F.col("x.low").alias("slot"), F.lit(1).alias("n")), F.struct(F.col("x.high").alias("slot"), F.lit(-1).alias("n")))).alias("y"))
+    steps = steps.groupBy(*group, F.col("y.slot").alias("slot")).agg(F.sum("y.n").alias("n"))
+    ordered = Window.partitionBy(*group).orderBy("slot")
+    levels = steps.select(*group, "slot", F.sum("n").over(ordered).alias("n"), F.lead("slot").over(ordered).alias("next")).where("n > 0")
+    label = F.element_at(F.array(*[F.lit(str(c)) for c in cuts], F.lit("end")), F.col("at") + 1)
+    return levels.select(*group, "n", F.explode(F.sequence(F.col("slot"), F.col("next") - 1)).alias("at")).select(*group, "n", label.alias("as_of"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +62,24 @@ def parent_rows(spark: SparkSession, d: str) -> DataFrame:
     return cleaned.unionByName(sections).unionByName(clauses).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+#: Slices of arrival time for the final state alone, which is the same for any number of them.
 SLICES = 3
 
 
+def arrivals(references: DataFrame, parents: DataFrame) -> tuple[datetime | None, datetime | None]:
+    """The first and the last arrival of either side."""
+    return tuple(references.select("at").unionAll(parents.select("at")).agg(F.min("at"), F.max("at")).first())
+
+
+def month_ends(first: datetime | None, last: datetime | None) -> list[datetime]:
+    """The last microsecond of each month from the first arrival to the last, but for the month of the last."""
+    cuts = []
+    while first is not None and (first.year, first.month) < (last.year, last.month):
+        first = (first.replace(day=1) + timedelta(days=32)).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+        cuts.append(first - timedelta(microseconds=1))
+    return cuts
+
+
 def replayed(spark: SparkSession, d: str) -> tuple[O.OrphanState, list[DataFrame]]:
     references, parents = reference_rows(spark, d), parent_rows(spark, d)
     span = references.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
@@ -81,7 +96,9 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, replayed(spark, d)[1])
+    """Counts of the references that waited at each month end between the first and the last arrival, and at the end."""
+    references, parents = reference_rows(spark, d), parent_rows(spark, d)
+    return O.snapshots(references, parents, month_ends(*arrivals(references, parents)))
 
 
 def queries() -> dict:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,6 +98,44 @@ def test_orphans_slice_by_slice(spark):
     assert {r.period for r in O.orphans(state).collect()} == {"2024-01", "2024-02"}
 
 
+@pytest.mark.parametrize("days", [[], [0.5, 5, 20, 31, 36]])
+def test_snapshots_match_replay(spark, days):
+    refs = [reference(1, "a", 1), reference(1, "a", 9), reference(2, "late", 1), reference(3, "gone", 1), reference(4, "never", 2), reference(5, "back", 1), reference(6, "never", 40, "E"), reference(7, "back", 33)]
+    pars = [parent("a", 0), parent("late", 30), parent("gone", 0, True), parent("back", 0, True), parent("back", 35)]
+    both, cuts = frames(spark, refs, pars), [T0 + timedelta(days=x) for x in days]
+    plain = lambda df: [(r.table_name, r.field_name, r.period, r.reason, r.n, r.as_of) for r in df.collect()]
+    assert sorted(plain(O.snapshots(*both, cuts))) == sorted(x for shot in O.replay(*both, cuts)[1] for x in plain(shot))
+
+
+def test_snapshots_at_every_month_end(spark, tmp_path):
+    random.seed(5)
+    day = lambda a, b: T0 + timedelta(days=random.uniform(a, b))
+    refs = [(f"clause_{k % 40}", day(0, 330)) for k in range(80)]
+    # waits as deleted over one month end only; missing at one, then late
+    refs += [("clause_back", datetime(2024, 2, 20)), ("clause_after", datetime(2024, 4, 30, 23, 59, 59, 999999)), ("clause_never", datetime(2024, 5, 1)), ("clause_x", datetime(2024, 12, 3))]
+    rows = [(f"{k}", day(0, 330), gone) for k in range(36) for gone in random.choice(([None], [T0], [T0, None]))]
+    rows += [("back", datetime(2024, 1, 2), T0), ("back", datetime(2024, 3, 9), None), ("after", datetime(2024, 5, 1), None), ("x", datetime(2025, 2, 1), None)]
+    put = lambda name, data, cols: spark.createDataFrame(data, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("edges", [("D", n, key, None, at) for n, (key, at) in enumerate(refs)], "doc_id string, ord int, source string, target string, ingested_at timestamp_ntz")
+    put("clauses", [("D", *r) for r in rows], "doc_id string, clause_id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz")
+    put("clause_refs", [], "doc_id string, ord int, resolved_clause_id string, ingested_at timestamp_ntz")
+    put("cleaned", [], "doc_id string, ingested_at timestamp_ntz")
+    put("sections", [], "doc_id string, section_id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz")
+    months = [datetime(2024 + m // 12, m % 12 + 1, 1) for m in range(1, 14)]  # the last arrival is in February 2025
+    want = Counter()
+    for before in [*months, None]:
+        seen = lambda at: before is None or at < before
+        for key, at in refs:
+            own = [r for r in rows if f"clause_{r[0]}" == key and seen(r[1])]
+            why = "missing" if not own else "deleted" if all(r[2] for r in own) else "late" if min(r[1] for r in own) > at else None
+            if why and seen(at):
+                want[str(before - timedelta(microseconds=1)) if before else "end", f"{at:%Y-%m}", why] += 1
+    got = problems.p5_snapshots(spark, str(tmp_path)).collect()
+    assert {(r.as_of, r.period, r.reason): r.n for r in got} == want
+    assert len({r.as_of for r in got}) == len(months) + 1
+    assert problems.month_ends(None, None) == [] == problems.month_ends(T0, datetime(2024, 1, 31, 23))
+
+
 def test_deletions_reopen_settled_references(spark):
     work, state = Workspace(spark, "t"), O.empty_state(spark)
     for refs, pars, want in (
