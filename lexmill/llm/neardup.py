@@ -126,10 +126,38 @@ def similar_pairs(members: DataFrame, pairs: DataFrame, keys: list[str]) -> Data
     return turned.unionByName(twins.select(*turned.columns)).distinct()
 
 
-def links(members: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a record: keys, class_id (of its exact words), n_links: records similar to it, copies included."""
+def records_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and class of each distinct record, however short its text; the class is null where the text is."""
+    return df.select(*keys, F.unhex(F.md5(F.array_join(words_of(text), " "))).alias("class")).distinct()
+
+
+def groups(pairs: DataFrame, work: Workspace) -> DataFrame:
+    """class and group (its least class) of each class in a pair: the connected components of the pairs.
+
+    Large and small stars in turn: each round hangs the neighbours of a class on the least class among them, by an
+    aggregate and a join, until nothing changes. The rounds grow with the logarithm of the largest component."""
+    now, before = work.write(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), None
+    while True:
+        both = now.unionAll(now.select("v", "u")).distinct()
+        large = both.where("v > u").join(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        new = work.write(small.select("u", F.col("m").alias("v")).unionAll(small.where("v > m").select("v", "m")).distinct())
+        work.drop(now)
+        now, after = new, tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("u").alias("class"), F.col("v").alias("group")).unionAll(now.select("v", "v").distinct())
+
+
+def links(members: DataFrame, pairs: DataFrame, keys: list[str], records: DataFrame | None = None) -> DataFrame:
+    """One row a record: keys, class_id (of its exact words), n_links: records similar to it, copies included, and
+    group_id: the same for records that a chain of similar ones joins. Of records (keys, class), where given, also those
+    that are no members get a row, with n_links 0 and without group_id."""
     sizes = members.groupBy("class").agg(F.count("*").alias("size"))
     both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
     near = both.join(sizes.select(F.col("class").alias("other"), F.col("size").alias("s")), "other").groupBy("class").agg(F.sum("s").alias("near"))
-    per_class = sizes.join(near, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    return members.join(per_class, "class").select(*keys, F.lower(F.hex("class")).alias("class_id"), "n_links")
+    grouped = groups(pairs, Workspace(members.sparkSession, "groups"))
+    per_class = sizes.join(near, "class", "left").join(grouped, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("group", "class").alias("group"))
+    rows = (members if records is None else records).join(per_class, "class", "left")
+    return rows.select(*keys, F.lower(F.hex("class")).alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.lower(F.hex("group")).alias("group_id"))

@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.links(*near(spark, d), CLAUSE)
+    return neardup.links(*near(spark, d), CLAUSE, neardup.records_of(table(spark, d, "clauses", *CLAUSE, "clause_text"), CLAUSE, "clause_text"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import regex
 
-from lexmill.llm import leakage, lookalike, neardup, pieces, spans, tokenize
+from lexmill.llm import leakage, lookalike, neardup, pieces, queries, spans, tokenize
 
 VOCABULARY = os.environ.get("LEXMILL_VOCABULARY", tokenize.DEFAULT_VOCABULARY)
 
@@ -51,6 +51,23 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, width, threshold, b
     assert links == {k: degree[k] for k in sets}
 
 
+def test_links_have_every_record_and_groups(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    # a chain: each text is like the next one, but not like the one after
+    rows = [("D", f"chain{k}", " ".join(words[3 * k : 3 * k + 20])) for k in range(9)]
+    rows += [("D", "copy", rows[8][2].upper()), ("D", "alone", " ".join(f"x{k}" for k in range(20))), ("D", "short", "Same words"), ("E", "short", "same  WORDS"), ("E", "null", None), ("E", "blank", " ")]
+    spark.createDataFrame(rows + rows[:3], "doc_id string, clause_id string, clause_text string").write.parquet(f"{tmp_path}/clauses.parquet")
+    got = queries.p1_links(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.clause_id) for r in got) == sorted((d, c) for d, c, _ in rows)
+    told = {(r.doc_id, r.clause_id): r for r in got}
+    chain = [told["D", c] for _, c, _ in rows[:10]]
+    assert [r.n_links for r in chain] == [1, 2, 2, 2, 2, 2, 2, 3, 2, 2]
+    assert len({r.group_id for r in chain}) == 1 and told["D", "alone"].group_id == told["D", "alone"].class_id != chain[0].group_id
+    rest = [told["D", "short"], told["E", "short"], told["E", "null"], told["E", "blank"]]
+    assert all(r.n_links == 0 and r.group_id is None for r in rest)
+    assert rest[0].class_id == rest[1].class_id and rest[2].class_id is None
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string")
     assert neardup.similar_pairs(*neardup.near_duplicates(df, ["id"], "t"), ["id"]).count() == 0
