@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\x01", "\x02"
@@ -34,13 +34,18 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def find_spans(df: DataFrame, keys: list[str], text: str, patterns: list[str]) -> DataFrame:
     """Every match of every pattern in the text: keys, pattern_no, span_start, span_end (code points), span_text.
 
-    All patterns are tried in one pass over the rows. Offsets are sums of lengths of the parts between matches, as
-    Spark's own regex positions count UTF-16 units. Null texts give no row; keys must be unique."""
+    All patterns are tried in one pass over the rows, and each match gets its place there, so nothing is shuffled. Offsets
+    are sums of lengths of the parts between matches, as Spark's own regex positions count UTF-16 units. Null texts give
+    no row; keys need not be unique."""
     clean = F.translate(F.col(text), OPEN + CLOSE, "\x03\x03")
     tried = F.array(*[F.struct(F.lit(k).alias("pattern_no"), F.split(F.regexp_replace(clean, p, f"{OPEN}$0{CLOSE}"), OPEN, -1).alias("parts")) for k, p in enumerate(patterns)])
-    hits = df.where(F.col(text).isNotNull()).select(*keys, F.explode(F.filter(tried, lambda x: F.size(x["parts"]) > 1)).alias("x"))
-    parts = hits.select(*keys, "x.pattern_no", F.posexplode("x.parts").alias("pos", "part"))
-    match = F.substring_index("part", CLOSE, 1)
-    before = Window.partitionBy(*keys, "pattern_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.select(*keys, "pattern_no", "pos", match.alias("span_text"), F.coalesce(F.sum(F.length(F.replace("part", F.lit(CLOSE), F.lit("")))).over(before), F.lit(0)).cast("int").alias("span_start"))
-    return placed.where("pos > 0").select(*keys, "pattern_no", "span_start", (F.col("span_start") + F.length("span_text")).alias("span_end"), "span_text")
+
+    def placed(x: Column) -> Column:
+        # a part but for the first is a match, its end mark and what follows it
+        start = F.struct(F.length(x["parts"][0]).alias("at"), F.array().cast("array<struct<a:int,b:string>>").alias("out"))
+        step = lambda acc, part: F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.substring_index(part, CLOSE, 1).alias("b")))).alias("out"))
+        return F.aggregate(F.slice(x["parts"], 2, 1 << 30), start, step, lambda acc: F.transform(acc["out"], lambda m: F.struct(x["pattern_no"].alias("pattern_no"), m["a"].alias("a"), m["b"].alias("b"))))
+
+    hits = F.flatten(F.transform(F.filter(tried, lambda x: F.size(x["parts"]) > 1), placed))
+    found = df.where(F.col(text).isNotNull()).select(*keys, F.explode(hits).alias("x"))
+    return found.select(*keys, "x.pattern_no", F.col("x.a").alias("span_start"), (F.col("x.a") + F.length("x.b")).alias("span_end"), F.col("x.b").alias("span_text"))

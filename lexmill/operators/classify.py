@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import vocab
+from lexmill.functions.ordered import across, bucket_of
 from lexmill.functions.text import find_spans, strip, words
 
 EDGE = r"""[.,;:!?()\[\]{}'"]+"""
@@ -48,10 +49,10 @@ def classify(clauses: DataFrame, classifier: Callable[[Column, Column], Column]
 def context(clauses: DataFrame, key: str = "doc_id") -> DataFrame:
     """clauses with previous_clause_id, next_clause_id, neighbor_clause_ids (over the whole document), section_position
     (from 0), is_first_in_section and is_last_in_section. Order is by ord, then clause_id."""
-    w = Window.partitionBy(key).orderBy("ord", "clause_id")
-    s = Window.partitionBy(key, "section_id").orderBy("ord", "clause_id")
-    at = F.row_number().over(s) - 1
-    out = clauses.select("*", F.lag("clause_id").over(w).alias("previous_clause_id"), F.lead("clause_id").over(w).alias("next_clause_id"), at.alias("section_position"), F.lead("clause_id").over(s).isNull().alias("is_last_in_section"))
+    order, bucket = ["ord", "clause_id"], bucket_of("ord")
+    near = across(clauses, [key], order, bucket, lasts={"previous_clause_id": F.col("clause_id")}, leads={"next_clause_id": F.col("clause_id")})
+    out = across(near, [key, "section_id"], order, bucket, sums={"section_position": F.lit(1)}, leads={"_more": F.lit(True)})
+    out = out.withColumn("section_position", F.col("section_position").cast("int")).withColumn("is_last_in_section", F.col("_more").isNull()).drop("_more")
     return out.withColumn("is_first_in_section", F.col("section_position") == 0).withColumn("neighbor_clause_ids", F.array_compact(F.array("previous_clause_id", "next_clause_id")))
 
 

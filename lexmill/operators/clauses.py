@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from lexmill.functions.text import strip
 SHIELD, CUT = "", "\x01"
 STOP = r"[.\x{E000}]"
 GAP = r"[[\s\x1c-\x1f]&&[^\n]]"
+# What marks a list item.
 MARKER = rf"(?:\(\d+\)|\d+(?:{STOP}\d+)*[.)]|[A-Za-z][.)]|\([A-Za-z]\)|[-*•])"
 ITEM = rf"{GAP}*{MARKER}{GAP}[^\n]+"
 #: An item's line, a blank line, or the white space after a sentence, which stops before a blank or an item's line.
@@ -68,38 +67,3 @@ def clauses(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
         F.col("end_char").alias("span_end"),
         "clause_number",
     )
-
-
-def plain_units(text: str) -> list[tuple[str, int, int, str | None]]:
-    """The same for one Python string, line by line; the tests hold units() against it."""
-    marker = re.compile(r"\s*(\(\d+\)|\d+(?:\.\d+)*[.)]|[A-Za-z][.)]|\([A-Za-z]\)|[-*•])\s+.+")
-    guarded = text
-    for a in sorted(vocab.ABBREVIATIONS, key=len, reverse=True):
-        guarded = guarded.replace(a, a.replace(".", SHIELD))
-    guarded = re.sub(r"(?<=\d)\.(?=\d)", SHIELD, guarded)
-    out: list[tuple[str, int, int, str | None]] = []
-    block: list[int] = []
-    ends = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
-
-    def close() -> None:
-        if block:
-            begin, end = block[0], block[-1]
-            at = begin
-            for m in [*re.finditer(r"(?<=[.!?])\s+", guarded[begin:end]), None]:
-                stop = begin + m.start() if m else end
-                if text[at:stop].strip():
-                    out.append((text[at:stop], at, stop, None))
-                at = begin + m.end() if m else end
-            block.clear()
-
-    for a, b in zip(ends, ends[1:]):
-        line = text[a + 1 : b]
-        m = marker.fullmatch(line)
-        if m or not line.strip():
-            close()
-        if m:
-            out.append((line, a + 1, b, m.group(1)))
-        elif line.strip():
-            block[:] = [block[0] if block else a + 1, b]
-    close()
-    return out

@@ -7,11 +7,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import vocab
+from lexmill.functions.ordered import bucket_of, numbered
 from lexmill.functions.text import strip
+from lexmill.session import Workspace
 
 Model = Callable[[str, str], str]
 OBLIGATION = ("subject", "action", "object", "condition", "exception")
@@ -74,10 +76,10 @@ def enrich(nodes: DataFrame, edges: DataFrame, model: Model) -> tuple[DataFrame,
     failures (doc_id, id, error) and leave the graph as it is."""
     given = nodes.where("label = 'Clause'").select("doc_id", "ord", "id", F.coalesce(F.element_at("properties", "text"), F.lit("")).alias("text"))
     prompts = given.withColumn("p", analysis_prompt(F.col("text"))).select("doc_id", "ord", "id", F.col("p.system").alias("system"), F.col("p.user").alias("user"))
-    read = read_obligations(ask(prompts, "system", "user", model)).select("doc_id", "ord", "id", "obligations", "error")
+    # the answers are written, so that the model is asked once
+    read = Workspace(nodes.sparkSession, "enrich").write(read_obligations(ask(prompts, "system", "user", model)).select("doc_id", "ord", "id", "obligations", "error"))
     flat = read.select("doc_id", "ord", "id", F.posexplode("obligations").alias("k", "o"))
-    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "id", "k")) - 1
-    flat = flat.withColumn("name", F.concat(F.lit("obl_"), "id", F.lit("_"), no.cast("string")))
+    flat = numbered(flat, ["doc_id"], ["ord", "id", "k"], bucket_of("ord"), "no").withColumn("name", F.concat(F.lit("obl_"), "id", F.lit("_"), F.col("no").cast("string")))
     props = F.create_map(*[x for k in OBLIGATION for x in (F.lit(k), F.coalesce(F.col(f"o.{k}"), F.lit("")))])
     added = flat.select("doc_id", "ord", F.col("name").alias("id"), F.lit("Obligation").alias("label"), props.alias("properties"), F.lit(None).cast("string").alias("source_clause"))
     joined = flat.select("doc_id", "ord", F.col("id").alias("source"), F.col("name").alias("target"), F.lit("HAS_OBLIGATION").alias("type"), F.create_map().cast("map<string,string>").alias("properties"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import vocab
+from lexmill.functions import ordered, vocab
 from lexmill.functions.text import find_spans, strip
 
 KEYS = ["doc_id", "clause_id"]
@@ -33,9 +33,11 @@ def raw_entities(clauses: DataFrame, references: DataFrame, text: str = "clause_
 
 
 def numbered(raw: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Adds entity_id: a counter over the document's raw detections, in order of clause, detector, pattern and start."""
-    order = Window.partitionBy("doc_id").orderBy("ord", "clause_id", "detector_no", "pattern_no", "start_offset")
-    return raw.join(clauses.select(*KEYS, "ord"), KEYS).withColumn("entity_id", F.format_string("E%03d", F.row_number().over(order)))
+    """Adds entity_id: a counter over the document's raw detections, in order of clause, detector, pattern and start.
+    raw is read twice."""
+    placed = raw.join(clauses.select(*KEYS, "ord"), KEYS)
+    counted = ordered.numbered(placed, ["doc_id"], ["ord", "clause_id", "detector_no", "pattern_no", "start_offset"], ordered.bucket_of("ord"), "_k")
+    return counted.withColumn("entity_id", F.format_string("E%03d", F.col("_k") + 1)).drop("_k")
 
 
 def merged(found: DataFrame) -> DataFrame:

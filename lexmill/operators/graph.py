@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import vocab
+from lexmill.functions.ordered import across, bucket_of, numbered
 from lexmill.functions.text import find_spans, strip, words
 
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
@@ -35,18 +36,17 @@ def hierarchy(clauses: DataFrame, documents: DataFrame) -> tuple[DataFrame, Data
     clause, and a Clause per clause, each under the last node before of a lower level. Documents without clauses have no
     node; of nodes with one id the first holds; a null title is empty. A clause hangs on the section opened last, even
     where it returns to an earlier one."""
-    at = Window.partitionBy("doc_id").orderBy("ord", "clause_id")
-    seen = Window.partitionBy("doc_id", "section_id").orderBy("ord", "clause_id")
+    order, bucket = ["ord", "clause_id"], bucket_of("ord")
     label = node_label(F.col("section_title"))
-    rows = clauses.select("doc_id", "ord", "clause_id", "section_title", "clause_text", "section_id", (F.row_number().over(seen) == 1).alias("opens"), label.alias("label"))
+    rows = across(clauses.select("doc_id", "ord", "clause_id", "section_title", "clause_text", "section_id"), ["doc_id", "section_id"], order, bucket, lasts={"opened": F.lit(True)})
+    rows = rows.withColumn("opens", F.col("opened").isNull()).withColumn("label", label).drop("opened")
     rows = rows.withColumn("level", F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("label")]).withColumn("node", F.concat(F.lower("label"), F.lit("_"), "section_id"))
     law = F.concat(F.lit("law_"), F.col("doc_id"))
-    opened = F.struct(F.row_number().over(at).alias("k"), F.col("node").alias("id"))
-    past, upto = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("opened", F.when(F.col("opens"), opened))
-    lasts = [F.last(F.when(F.col("level") == k, F.col("opened")), ignorenulls=True).over(past) for k in (1, 2)]
-    under = F.array_max(F.array_compact(F.array(*[F.when(F.col("level") > k, x) for k, x in zip((1, 2), lasts)])))["id"]
-    rows = rows.select("*", F.coalesce(under, law).alias("parent"), F.last("opened", ignorenulls=True).over(upto)["id"].alias("holder"), F.row_number().over(at).alias("k"))
+    opened = lambda when: F.when(F.col("opens") & when, F.struct("ord", "clause_id", F.col("node").alias("id")))
+    rows = across(rows, ["doc_id"], order, bucket, sums={"k": F.lit(1)}, lasts={"chapter": opened(F.col("level") == 1), "section": opened(F.col("level") == 2), "latest": opened(F.lit(True))})
+    under = F.array_max(F.array_compact(F.array(F.when(F.col("level") > 1, F.col("chapter")), F.when(F.col("level") > 2, F.col("section")))))["id"]
+    holder = F.when(F.col("opens"), F.col("node")).otherwise(F.col("latest.id"))
+    rows = rows.withColumn("k", (F.col("k") + 1).cast("int")).select("*", F.coalesce(under, law).alias("parent"), holder.alias("holder"))
     text = F.coalesce("section_title", F.lit(""))
     section_properties = F.when(F.col("label") == "SubSection", F.create_map(F.lit("identifier"), text)).otherwise(F.create_map(F.lit("number"), node_number(F.col("section_title")), F.lit("title"), text))
     clause_properties = F.create_map(F.lit("clause_id"), F.col("clause_id"), F.lit("text"), F.col("clause_text"), F.lit("confidence"), F.lit("1.0"))
@@ -174,13 +174,12 @@ def cypher(nodes: DataFrame, edges: DataFrame, indexed: bool = True) -> DataFram
     """doc_id, part (0 nodes, 1 edges), no, query, parameters (JSON) and error (null, or the name that is no identifier)
     of the MERGE statement of each node and edge, numbered in the document. indexed puts the number into parameter names,
     as a statement list does; without, all statements of a label are one text, as an exporter wants it."""
-    at = lambda *c: F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", *c)) - 1
-    n = nodes.select("doc_id", F.lit(0).alias("part"), at("id").alias("no"), "id", "label", "properties", "source_clause")
+    n = numbered(nodes, ["doc_id"], ["ord", "id"], bucket_of("ord"), "no").select("doc_id", F.lit(0).alias("part"), "no", "id", "label", "properties", "source_clause")
     mark = F.concat(F.lit("n"), F.col("no").cast("string")) if indexed else F.lit("n")
     own = F.create_map(F.lit("id"), F.col("id"))
     props = F.map_concat(F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("id", "source_clause")), F.when(F.col("source_clause").isNull(), own).otherwise(F.map_concat(own, F.create_map(F.lit("source_clause"), F.col("source_clause")))))
     n = n.select("doc_id", "part", "no", F.concat(F.lit("MERGE (n:"), "label", F.lit(" {id: $"), mark, F.lit("_id}) SET n += $"), mark, F.lit("_props")).alias("query"), F.concat(F.lit('{"'), mark, F.lit('_id":'), quoted("id"), F.lit(',"'), mark, F.lit('_props":'), F.to_json(props), F.lit("}")).alias("parameters"), F.when(~F.coalesce(F.col("label").rlike(IDENTIFIER), F.lit(False)), F.concat(F.lit("Invalid node label "), F.coalesce("label", F.lit("null")))).alias("error"))
-    e = edges.select("doc_id", F.lit(1).alias("part"), at("source", "target", "type").alias("no"), "source", "target", "type", "properties")
+    e = numbered(edges, ["doc_id"], ["ord", "source", "target", "type"], bucket_of("ord"), "no").select("doc_id", F.lit(1).alias("part"), "no", "source", "target", "type", "properties")
     mark = F.concat(F.lit("r"), F.col("no").cast("string")) if indexed else F.lit("r")
     e = e.select("doc_id", "part", "no", F.concat(F.lit("MATCH (source {id: $source_id}) MATCH (target {id: $target_id}) MERGE (source)-[r:"), "type", F.lit("]->(target) SET r += $"), mark, F.lit("_props")).alias("query"), F.concat(F.lit('{"source_id":'), quoted("source"), F.lit(',"target_id":'), quoted("target"), F.lit(',"'), mark, F.lit('_props":'), F.to_json(F.coalesce("properties", F.create_map().cast("map<string,string>"))), F.lit("}")).alias("parameters"), F.when(~F.coalesce(F.col("type").rlike(IDENTIFIER), F.lit(False)), F.concat(F.lit("Invalid relationship type "), F.coalesce("type", F.lit("null")))).alias("error"))
     return n.unionByName(e)

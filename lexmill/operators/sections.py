@@ -69,22 +69,40 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text") ->
     """key, section_no, section_id, title, text, span_start, span_end, level, parent_section_id. The sections of a text
     lie end to end over the whole of it: what precedes the first heading is a section without title, as is a text
     without headings (an empty one too). A parent is the last section before of a lower level. Null texts have none."""
-    found = headings(df, key, text).select(key, F.col("start_char").alias("span_start"), "level", "title", F.lit(True).alias("headed"))
-    base = df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("full"))
-    first = found.groupBy(key).agg(F.min("span_start").alias("first"))
-    untitled = base.select(key).join(first, key, "left").where("first is null or first > 0").select(key, F.lit(0).alias("span_start"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("title"), F.lit(False).alias("headed"))
-    w = Window.partitionBy(key).orderBy("span_start")
-    every = found.unionByName(untitled).select("*", F.row_number().over(w).alias("section_no"), F.lead("span_start").over(w).alias("next"))
-    every = every.withColumn("section_id", F.format_string("S%03d", "section_no"))
-    deepest = found.agg(F.max("level")).first()[0] or 1
-    # the last section of each level so far; a section's parent is the latest of those of lower levels
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    lower = [F.when(F.col("level") > k, F.last(F.when(F.col("headed") & (F.col("level") == k), F.struct("section_no", "section_id")), ignorenulls=True).over(past)) for k in range(1, deepest)]
-    parent = F.array_max(F.array_compact(F.array(*lower)))["section_id"] if lower else F.lit(None).cast("string")
-    every = every.withColumn("parent_section_id", F.when(F.col("headed"), parent))
-    joined = every.join(base, key)
-    end = F.coalesce("next", F.length("full"))
-    return joined.select(key, "section_no", "section_id", "title", F.substring("full", F.col("span_start") + 1, end - F.col("span_start")).alias("text"), "span_start", end.cast("int").alias("span_end"), "level", "parent_section_id")
+    found = headings(df, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "start_char", "level", "title", F.lit(True).alias("headed")))).alias("found"))
+    base = df.where(F.col(text).isNotNull()).select(F.col(key), F.split(F.col(text), "\n", -1).alias("lines"), F.length(text).alias("n"))
+    kind = "array<struct<line_no:int,start_char:int,level:int,title:string,headed:boolean>>"
+    none = F.array().cast(kind)
+    untitled = F.array(F.struct(F.lit(0).alias("line_no"), F.lit(0).alias("start_char"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("title"), F.lit(False).alias("headed"))).cast(kind)
+    joined = base.join(found, key, "left").withColumn("found", F.coalesce(F.col("found").cast(kind), none))
+    joined = joined.withColumn("starts", F.when(F.coalesce(F.get("found", F.lit(0))["start_char"] == 0, F.lit(False)), F.col("found")).otherwise(F.concat(untitled, "found")))
+    # one pass down the headings with those still open: a parent is the innermost of them once its equals are closed
+    nothing = F.struct(F.array().cast("array<struct<level:int,no:int>>").alias("open"), F.array().cast("array<int>").alias("parents"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.filter(acc["open"], lambda o: o["level"] < x["level"])
+        own = F.struct(x["level"].alias("level"), (F.size(acc["parents"]) + 1).alias("no"))
+        parent = F.when(x["headed"], F.try_element_at(left, F.lit(-1))["no"])
+        return F.struct(F.when(x["headed"], F.concat(left, F.array(own))).otherwise(acc["open"]).alias("open"), F.concat(acc["parents"], F.array(parent)).alias("parents"))
+
+    joined = joined.withColumn("parents", F.aggregate("starts", nothing, step, lambda acc: acc["parents"]))
+
+    def section(x: Column, k: Column) -> Column:
+        after = F.get("starts", k + 1)
+        lines = F.slice("lines", x["line_no"] + 1, F.coalesce(after["line_no"], F.size("lines")) - x["line_no"])
+        return F.struct(
+            (k + 1).alias("section_no"),
+            x["title"].alias("title"),
+            F.concat(F.array_join(lines, "\n"), F.when(after.isNull(), "").otherwise("\n")).alias("text"),
+            x["start_char"].alias("span_start"),
+            F.coalesce(after["start_char"], F.col("n")).alias("span_end"),
+            x["level"].alias("level"),
+            F.get("parents", k).alias("parent"),
+        )
+
+    named = lambda no: F.format_string("S%03d", no)
+    every = joined.select(key, F.explode(F.transform("starts", section)).alias("x"))
+    return every.select(key, "x.section_no", named(F.col("x.section_no")).alias("section_id"), "x.title", "x.text", "x.span_start", "x.span_end", "x.level", F.when(F.col("x.parent").isNotNull(), named(F.col("x.parent"))).alias("parent_section_id"))
 
 
 def tree_depths(sections: DataFrame, key: str = "doc_id") -> DataFrame:

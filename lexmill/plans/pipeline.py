@@ -40,7 +40,7 @@ def run(documents: DataFrame, text: str = "raw_text", classifier=K.role) -> Outp
     made = work.write(C.clauses(grouped))
     classified = K.classify(made, classifier)
     references = work.write(K.references(made))
-    raw = entities.raw_entities(made, references)
+    raw = work.write(entities.raw_entities(made, references))
     kept = work.write(entities.merged(entities.numbered(raw, made)))
     return Outputs(cleaned, found, cut, grouped, made, classified, K.context(classified), references, kept, entities.chunks(classified, kept, references))
 

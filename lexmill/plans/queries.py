@@ -92,7 +92,7 @@ def entity_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     work = Workspace(spark, "entities")
     rows = work.write(clause_rows(spark, d))
     refs = work.write(K.references(rows))
-    return rows, refs, work.write(entities.numbered(entities.raw_entities(rows, refs), rows))
+    return rows, refs, entities.numbered(work.write(entities.raw_entities(rows, refs)), rows)
 
 
 ENTITY = ["doc_id", "clause_id", "entity_id", "entity_text", "entity_type", "start_offset", "end_offset", "confidence", "detection_method"]

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import vocab
+from lexmill.functions import ordered, vocab
 from lexmill.operators import blocks as B
 from lexmill.operators import classify as K
 from lexmill.operators import clauses as C
@@ -167,22 +167,107 @@ def test_blocks_and_candidates_over_sections(spark):
     assert c[0].block_ids == ["S001_B001", "S001_B002", "S001_B003", "S002_B001"]
 
 
-def block(kind, text, items=()):
-    return {"type": kind, "text": text, "block_id": text[:3], "section_id": "S", "section_title": None, "items": list(items)}
-
-
-def test_candidate_rules():
-    long = "The controller keeps records of all processing."
-    group = lambda *b: [c.text for c in B.group(list(b))]
-    assert group(block("HEADING", "Head"), block("LIST", "", ["- a"])) == ["- a"]
-    assert B.group([block("HEADING", "Head"), block("PARAGRAPH", long)])[0].heading == "Head"
-    assert B.group([block("PARAGRAPH", "Short title here"), block("PARAGRAPH", long)])[0].title == "Short title here"
-    assert group(block("PARAGRAPH", "Home"), block("PARAGRAPH", "About us"), block("PARAGRAPH", long)) == [long]
-    assert group(block("PARAGRAPH", long), block("LIST", "", ["France", "Spain"])) == [long]
-    assert group(block("PARAGRAPH", "It applies where the following hold today"), block("PARAGRAPH", "and then some more words follow now")) == ["It applies where the following hold today and then some more words follow now"]
-    c = B.group([block("PARAGRAPH", long), block("NOTE", "Nn"), block("TABLE", "Tt"), block("LINK", "Ll"), block("QUOTE", "> q")])[0]
-    assert c.attached == {"NOTE": ["Nn"], "TABLE": ["Tt"], "LINK": ["Ll"]} and c.block_ids == ["The", "Nn", "Tt", "Ll"]
-    assert group() == [] and group(block("LIST", "", [])) == []
+def blocks_frame(spark, *documents):
+    """Documents of (kind, text, items) blocks as the rows of blocks(), an id being the first three letters."""
+    out = []
+    for d, found in enumerate(documents):
+        for k, (kind, text, *items) in enumerate(found):
+            out.append((f"D{d}", 1, 100 * k, k + 1, 1, 100 * k, (text or "")[:3], "S", kind, text, None))
+            out += [(f"D{d}", 1, 100 * k + j, k + 1, 2, 100 * k, "i", "S", "LIST_ITEM", x, None) for j, x in enumerate(items, 1)]
+    return spark.createDataFrame(out, "doc_id string, section_no int, seq int, ord int, depth int, top_seq int, block_id string, section_id string, block_type string, text string, section_title string")
+
+
+LONG, MORE = "The controller keeps records of all processing.", "The processor keeps them as well, and for longer."
+
+
+def test_candidate_rules(spark):
+    p = lambda text: ("PARAGRAPH", text)
+    head, link = ("HEADING", "Head"), ("LINK", "Lnk")
+    cases = [
+        ([head, ("LIST", "", "- a")], ["- a"]),
+        ([head, p(LONG)], [LONG]),
+        ([p("Short title here"), p(LONG)], [LONG]),
+        ([p("Home"), p("About us"), p(LONG)], [LONG]),
+        ([p(LONG), ("LIST", "", "France", "Spain")], [LONG]),
+        ([p("It applies where the following hold today"), p("and then some more words follow now")], ["It applies where the following hold today and then some more words follow now"]),
+        ([p(LONG), ("NOTE", "Nn"), ("TABLE", "Tt"), link, ("QUOTE", "> q")], [LONG]),
+        ([], []),
+        ([("LIST", "")], []),
+        # a menu is skipped with its links; a quiet line before a link or at the end goes alone
+        ([p(LONG), p("Home"), p("News"), link, p("Help"), p(MORE)], [LONG, MORE]),
+        ([p(LONG), p("Home"), link, p("News"), p(MORE)], [LONG, MORE]),
+        ([p(LONG), p("Home")], [LONG]),
+        # a heading outlives a skipped line; a title waits for a paragraph without heading; a later title takes its place
+        ([head, p("Home"), link, p(LONG)], [LONG]),
+        ([p("One title line"), p("Home"), link, head, p(LONG), p(MORE)], [LONG, MORE]),
+        ([p("First title line"), p("Second title line"), p(LONG)], [LONG]),
+        # what goes on after a list goes on with the list's text
+        ([p(LONG), ("LIST", "", "- item"), p("and more of it in many words here")], [LONG + "\n- item and more of it in many words here"]),
+        ([p(LONG), ("LIST", "", "- item."), p("and more of it in many words here")], [LONG + "\n- item.", "and more of it in many words here"]),
+        ([("NOTE", "Nn"), p(None), p(LONG)], ["", LONG]),
+        # a list of bare words parts two quiet lines from the link
+        ([p(LONG), p("Home"), p("News"), ("LIST", "", "x"), link], [LONG]),
+    ]
+    got = {}
+    for r in B.candidates(blocks_frame(spark, *[c[0] for c in cases])).orderBy("ord").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for k, (_, want) in enumerate(cases):
+        assert [r.text for r in got.get(f"D{k}", [])] == want, k
+    assert got["D1"][0].heading == "Head" and got["D2"][0].title == "Short title here" and got["D12"][0].heading == "Head"
+    assert (got["D13"][0].heading, got["D13"][0].title, got["D13"][1].title) == ("Head", None, "One title line") and got["D14"][0].title == "Second title line"
+    c = got["D6"][0]
+    assert (c.note_block_ids, c.table_block_ids, c.link_block_ids, c.block_ids) == (["Nn"], ["Tt"], ["Lnk"], ["The", "Nn", "Tt", "Lnk"])
+    assert got["D9"][0].link_block_ids == [] and got["D10"][0].link_block_ids == ["Lnk"] == got["D18"][0].link_block_ids
+    assert B.candidates(blocks_frame(spark, [])).count() == 0
+
+
+def test_values_across_buckets(spark):
+    random.seed(9)
+    given = [(random.choice(["a", None, "hot", "hot"]), k, random.choice([None, k])) for k in range(300)] + [("a", None, 5)]
+    df = spark.createDataFrame(given, "g string, o int, v int")
+    got = ordered.across(df, ["g"], ["o"], ordered.bucket_of("o", 7), {"s": F.lit(2)}, {"last": F.col("v")}, {"next": F.col("v")}).collect()
+    for g in ("a", None, "hot"):
+        own = sorted((x for x in given if x[0] == g), key=lambda x: -1 if x[1] is None else x[1])
+        for r in (r for r in got if r.g == g):
+            k = own.index((r.g, r.o, r.v))
+            before = [x[2] for x in own[:k] if x[2] is not None]
+            assert (r.s, r.last, r.next) == (2 * k, before[-1] if before else None, own[k + 1][2] if k + 1 < len(own) else None)
+    assert len(got) == len(given)
+
+
+def plain_units(text: str) -> list[tuple[str, int, int, str | None]]:
+    """Clause units of one string, line by line."""
+    marker = re.compile(r"\s*(\(\d+\)|\d+(?:\.\d+)*[.)]|[A-Za-z][.)]|\([A-Za-z]\)|[-*•])\s+.+")
+    guarded = text
+    for a in sorted(vocab.ABBREVIATIONS, key=len, reverse=True):
+        guarded = guarded.replace(a, a.replace(".", C.SHIELD))
+    guarded = re.sub(r"(?<=\d)\.(?=\d)", C.SHIELD, guarded)
+    out: list[tuple[str, int, int, str | None]] = []
+    block: list[int] = []
+    ends = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+
+    def close() -> None:
+        if block:
+            begin, end = block[0], block[-1]
+            at = begin
+            for m in [*re.finditer(r"(?<=[.!?])\s+", guarded[begin:end]), None]:
+                stop = begin + m.start() if m else end
+                if text[at:stop].strip():
+                    out.append((text[at:stop], at, stop, None))
+                at = begin + m.end() if m else end
+            block.clear()
+
+    for a, b in zip(ends, ends[1:]):
+        line = text[a + 1 : b]
+        m = marker.fullmatch(line)
+        if m or not line.strip():
+            close()
+        if m:
+            out.append((line, a + 1, b, m.group(1)))
+        elif line.strip():
+            block[:] = [block[0] if block else a + 1, b]
+    close()
+    return out
 
 
 def test_units_match_the_line_by_line_reading(spark):
@@ -193,7 +278,7 @@ def test_units_match_the_line_by_line_reading(spark):
     got = {}
     for r in C.units(df, ["id"]).orderBy("id", "unit_no").collect():
         got.setdefault(r.id, []).append((r.unit_text, r.start_char, r.end_char, r.clause_number))
-    assert [got.get(k, []) for k in range(len(texts))] == [C.plain_units(t) for t in texts]
+    assert [got.get(k, []) for k in range(len(texts))] == [plain_units(t) for t in texts]
     assert len(texts) not in got
 
 
