@@ -103,15 +103,19 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[: len(now) - rest], now[rest:]) if rest else now
 
 
+def word_edges(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind of each code point, and start and end of each maximal run of letters or digits."""
+    kind = kinds()[points]
+    edge = np.diff(np.r_[False, kind > 0, False].astype(np.int8))
+    return kind, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def word_arrays(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and hash of each maximal run of letters or digits, and whether the run holds digits only."""
-    kind = kinds()[points]
-    inside = kind > 0
-    edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    kind, start, end = word_edges(points)
     if not len(start):
         return start, np.empty(0, U), np.empty(0, bool)
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(kind > 0)
     size = end - start
     first = np.cumsum(size) - size
     place = np.arange(len(at)) - np.repeat(first, size)

@@ -218,6 +218,62 @@ def test_reparameterised(spark):
     assert [(r.item_id, r.doc_id) for r in leakage.reparameterised(items, docs).collect()] == [(1, 1)]
 
 
+def planted():
+    """Items, documents that hold one with other numbers and names, and decoys: slots that don't map one to one, another
+    literal word, numbers alone. (item, document) of the former."""
+    random.seed(12)
+    plain = "the old river crosses under bridge near town and was built by after people came from over hill with stone".split()
+    names = lambda: random.choice("BDGKLMPRSTV") + "".join(random.choice("aeiou") + random.choice("lmnrst") for _ in range(3))
+    number = lambda: random.choice([str(random.randint(2, 999)), f"{random.randint(1, 9)},{random.randint(100, 999)}", f"{random.randint(1, 99)}.5"])
+    items, docs, want = [(0, " ".join(plain)), (1, None), (2, "1 2 3 4 5 6 7 8 9 10 11 12 13 14")], [(0, None), (1, " ".join(map(str, range(40, 80))))], set()
+    for k in range(3, 43):
+        form = [random.choice(plain) for _ in range(random.choice([5, 6, 12, 16]))]
+        slots = sorted(random.sample(range(len(form)), 3))
+        unit = random.choice(["", "", "km", "th"])
+        first, second = ([names(), f"{random.randint(2, 999)}{unit}" if unit else number(), names()] for _ in range(2))
+        fill = lambda values: [dict(zip(slots, values)).get(j, w) for j, w in enumerate(form)]  # noqa: B023, E731
+        own = fill(first)
+        items.append((k, " ".join(own)))
+        lead = [random.choice(plain) for _ in range(4)]
+        docs.append((k, " ".join(lead + fill(second)) + " . " + " ".join(lead)))
+        if len(form) >= 6:
+            want.add((k, k))
+        docs.append((1000 + k, " ".join(fill([second[0], second[1], second[0]]))))
+        other = list(fill(second))
+        other[next(j for j in range(len(form)) if j not in slots and len(form) // 2 - 1 <= j)] = "hill" if form[len(form) // 2] != "hill" else "stone"
+        docs.append((2000 + k, " ".join(other)))
+    return items, docs, want
+
+
+@pytest.mark.parametrize("literals,points", [(leakage.BROADCAST_LITERALS, leakage.POINTS), (3, 600)])
+def test_planted_reparameterised_items(spark, monkeypatch, literals, points):
+    monkeypatch.setattr(leakage, "BROADCAST_LITERALS", literals)
+    monkeypatch.setattr(leakage, "POINTS", points)
+    items, docs, want = planted()
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs + docs[:5], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leakage.reparameterised(i, d).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    # an item of several windows may hold one of the two equal slots only
+    size = {k: len((t or "").split()) for k, t in items}
+    assert not any(doc in (0, 1) or item in (1, 2) or 1000 <= doc < 2000 and item == doc - 1000 and size[item] < 13 for item, doc in got)
+    verbatim = {(r.item_id, r.doc_id) for r in leakage.leaks(i, d).collect()}
+    grams = lambda t: {tuple(words(t)[k : k + 13]) for k in range(len(words(t)) - 12)} if t else set()
+    assert verbatim == {(a, b) for a, x in items for b, y in docs if grams(x) & grams(y)}
+
+
+def test_long_texts_in_pieces():
+    random.seed(3)
+    text = " ".join(random.choice(["word", "1,250", "x" * 30, "a.b", "15km"]) for _ in range(3000)) + "!" * 2000 + " end of it " + "y" * 900
+    whole = {tuple(x) for _, *w in leakage.windows_of([text], None, np.sort(leakage.word_hash(["word"])), np.sort(leakage.word_hash(["km"])), None, [13], False, False) for x in zip(*(v.tolist() for v in w))}
+    for most in (500, 3000):
+        parts = list(leakage.in_pieces(text, 13, most))
+        assert len(parts) > 2 and parts[-1] and text.endswith(parts[-1])
+        found = set()
+        for p in parts:
+            found |= {tuple(x) for _, *w in leakage.windows_of([p], None, np.sort(leakage.word_hash(["word"])), np.sort(leakage.word_hash(["km"])), None, [13], False, False) for x in zip(*(v.tolist() for v in w))}
+        assert found == whole
+
+
 def test_more_windows_than_a_pass_takes(spark, monkeypatch):
     monkeypatch.setattr(leakage, "WINDOWS_A_PASS", 5)
     text = " ".join(f"w{k}" for k in range(30))
