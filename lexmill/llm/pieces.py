@@ -1,9 +1,10 @@
 """Problem 2: cutting oversized texts at natural boundaries.
 
-Method: byte-range processing. A text is read in ranges; a worker sees its range with a halo before it and a short look
-ahead, so that two neighbours find the same cut at the border they share. Inside a range the pieces are packed one after
-another; counts of pieces (and, for files, of characters) become positions by prefix sums over the ranges. No worker
-loads more than a range, however large the text.
+Method: byte-range processing. A text becomes ranges in one pass, or a file is read by byte ranges; what is shuffled, and
+what a worker splits, is a range with a halo before it and a short look ahead, so that two neighbours find the same cut at
+the border they share. Inside a range the pieces are packed one after another; counts of pieces (and, for files, of
+characters) become positions by prefix sums over the ranges. Only the worker that reads a table's row sees a whole text;
+of a file, none does.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import Workspace
+
 LIMIT, OVERLAP, CHARS = 512, 64, 4
 RANGE = 32_768
-#: Characters before a border in which its cut is sought, and those looked at beyond it.
-SEEK, AHEAD = 1024, 64
+#: Characters beyond a border that are looked at for its cut, which is sought in a whole piece before the border.
+AHEAD = 64
+#: Characters of ranges in one Arrow batch.
+BATCH = 8 << 20
 
 PARAGRAPH = re.compile(r"\S(?=[^\S\n]*\n[^\S\n]*\n)")
 SENTENCE = re.compile(r"[.!?;…][)\]\"'”’»]*(?=\s)|[。！？]|\S(?=[^\S\n]*\n)")
@@ -41,13 +47,13 @@ def settle(text: str, at: int) -> int:
     return k if k > 1 else at
 
 
-def border_cut(text: str, border: int) -> int:
-    """The cut for a border between ranges: the last paragraph, sentence or word end in the SEEK characters before it. It
-    looks at the same characters whichever of the two ranges asks."""
-    begin = max(0, border - SEEK)
+def border_cut(text: str, border: int, most: int) -> int:
+    """The cut for a border between ranges: the last paragraph or sentence end in the half piece before it, or the last
+    word end in the whole piece. It looks at the same characters whichever of the two ranges asks."""
+    begin = max(0, border - most)
     window = text[begin : border + AHEAD]
-    for pattern in (PARAGRAPH, SENTENCE, WORD):
-        ends = [m.end() for m in pattern.finditer(window) if 0 < m.end() <= border - begin]
+    for pattern, least in ((PARAGRAPH, most // 2), (SENTENCE, most // 2), (WORD, 0)):
+        ends = [m.end() for m in pattern.finditer(window) if least < m.end() <= border - begin]
         if ends:
             return begin + ends[-1]
     return begin + settle(window, border - begin)
@@ -62,8 +68,8 @@ def overlap_start(text: str, cut: int, least: int, overlap: int) -> int:
 
 def cut_range(text: str, begin: int, stop: int, first: bool, last: bool, most: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces [from, to) of the range [begin, stop) of `text`, which holds the halo before and the look ahead after it."""
-    cut = 0 if first else border_cut(text, begin)
-    end = len(text) if last else border_cut(text, stop)
+    cut = 0 if first else border_cut(text, begin, most)
+    end = len(text) if last else border_cut(text, stop, most)
     if cut >= end:
         return []
     ends = [[m.end() for m in p.finditer(text)] for p in (PARAGRAPH, SENTENCE, WORD)]
@@ -114,32 +120,52 @@ def piece_rows(ranges: DataFrame, most: int, overlap: int) -> DataFrame:
     return ranges.mapInArrow(run, f"item {kind}, range_no bigint, no int, piece_start bigint, piece_end bigint, piece_text string")
 
 
-def numbered(pieces: DataFrame) -> DataFrame:
-    """Adds piece_no, from 0 in each item: the prefix sum of the ranges' counts plus the number in the range."""
+def numbered(pieces: DataFrame, work: Workspace) -> DataFrame:
+    """Adds piece_no, from 0 in each item: the prefix sum of the ranges' counts plus the number in the range. The pieces
+    are written first, so that no text is split twice."""
+    pieces = work.write(pieces)
     counts = pieces.groupBy("item", "range_no").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return pieces.join(counts.select("item", "range_no", before.alias("base")), ["item", "range_no"]).select("item", (F.col("base") + F.col("no")).alias("piece_no"), "piece_start", "piece_end", "piece_text")
 
 
+def halo_of(most: int, overlap: int) -> int:
+    """Characters before a range that its first cut and the overlap before that cut can ask for."""
+    return most + overlap + 1
+
+
 def text_ranges(df: DataFrame, most: int, overlap: int, size: int = RANGE) -> DataFrame:
-    """Ranges of (item, text), as piece_rows takes them."""
-    halo = SEEK + overlap + 1
-    at = F.col("range_no") * size
-    base = F.greatest(at - halo, F.lit(0))
-    return (
-        df.select("item", "text", F.length("text").alias("n"))
-        .select("item", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n") - 1) / size).cast("long"))).alias("range_no"))
-        .select(
-            "item",
-            "range_no",
-            base.cast("long").alias("base"),
-            (at - base).cast("int").alias("begin"),
-            (at - base + size).cast("int").alias("stop"),
-            (F.col("range_no") == 0).alias("first"),
-            (at + size >= F.col("n")).alias("last"),
-            F.substring("text", (base + 1).cast("int"), (at - base + F.lit(size + AHEAD)).cast("int")).alias("chunk"),
-        )
-    )
+    """Ranges of (item, text), as piece_rows takes them: one pass over each text, in proportion to its length."""
+    halo = halo_of(most, overlap)
+    if size <= halo + AHEAD:
+        raise ValueError("size is too small for the halo")
+    kinds = {"range_no": pa.int64(), "base": pa.int64(), "begin": pa.int32(), "stop": pa.int32(), "first": pa.bool_(), "last": pa.bool_(), "chunk": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            out: dict[str, list] = {k: [] for k in kinds}
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["item", *kinds])  # noqa: B023
+
+            for row in range(batch.num_rows):
+                text = batch.column(1)[row].as_py()
+                for at in range(0, len(text), size):
+                    base = max(0, at - halo)
+                    rows.append(row)
+                    for name, value in zip(kinds, (at // size, base, at - base, at - base + size, at == 0, at + size >= len(text), text[base : at + size + AHEAD])):
+                        out[name].append(value)
+                    held += size
+                    if held >= BATCH:
+                        yield flush()
+                        rows, out, held = [], {k: [] for k in kinds}, 0
+            if rows:
+                yield flush()
+
+    kind = df.schema["item"].dataType.simpleString()
+    return df.select("item", "text").mapInArrow(run, f"item {kind}, range_no bigint, base bigint, begin int, stop int, first boolean, last boolean, chunk string")
 
 
 def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
@@ -151,30 +177,34 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = LIMI
     the pieces of each. Columns other than keys and text are ignored; their names may clash with anything."""
     most, back = limit * CHARS + CHARS - 1, max(1, overlap * CHARS)
     records = df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.col(text).alias("text"))
-    large = records.where(token_estimate("text") > limit).select(F.struct("key", F.md5("text").alias("version")).alias("item"), "text").dropDuplicates(["item"])
-    pieces = numbered(piece_rows(text_ranges(large, most, back, size), most, back))
+    large = records.where(token_estimate("text") > limit).select(F.struct("key", F.md5("text").alias("version")).alias("item"), "text")
+    # one shuffle spreads the ranges, whatever text they are of, and takes repeated rows together
+    ranges = text_ranges(large, most, back, size).dropDuplicates(["item", "range_no"])
+    pieces = numbered(piece_rows(ranges, most, back), Workspace(df.sparkSession, "pieces"))
     return pieces.select(*[F.col(f"item.key.k{i}").alias(k) for i, k in enumerate(keys)], "piece_no", "piece_start", "piece_end", "piece_text", token_estimate("piece_text").alias("token_estimate"))
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
-    """The same for UTF-8 files on a file system that every executor sees: path, piece_no, piece_start, piece_end,
-    piece_text. Workers read byte ranges; a first pass counts the characters of each range, whose prefix sums turn
-    places in a range into places in the file. A file within the limit is one piece; an empty one gives none. Ranges
-    must be longer than SEEK characters can be in bytes."""
-    if size < 4 * (SEEK + AHEAD + overlap * CHARS + 8):
-        raise ValueError("size is too small for the halo")
+    """The same for UTF-8 files on a file system that every executor sees, local, HDFS or an object store (as far as
+    pyarrow's file systems go): path, piece_no, piece_start, piece_end, piece_text. Workers read byte ranges; a first pass
+    counts the characters of each range, whose prefix sums turn places in a range into places in the file. A file within
+    the limit is one piece; an empty one gives none. A range must hold more bytes than its halo can have."""
     most, back = limit * CHARS + CHARS - 1, max(1, overlap * CHARS)
-    halo = 4 * (SEEK + back + 1)
+    halo = 4 * halo_of(most, back)
+    if size <= halo + 4 * AHEAD:
+        raise ValueError("size is too small for the halo")
     files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
     parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("length") - 1) / size).cast("long"))).alias("range_no"))
     parts = parts.repartition("path", "range_no")
 
     def open_at(path: str, begin: int, n: int) -> bytes:
-        from urllib.parse import unquote, urlparse
-
-        with open(unquote(urlparse(path).path), "rb") as f:
-            f.seek(begin)
-            return f.read(n)
+        scheme, colon, rest = path.partition(":")
+        if not colon or scheme == "file":
+            store, where = fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+        else:
+            store, where = fs.FileSystem.from_uri(f"s3:{rest}" if scheme == "s3a" else path)
+        with store.open_input_file(where) as f:
+            return f.read_at(min(n, max(0, f.size() - begin)), begin)
 
     def skip(data: bytes, at: int) -> int:
         while at < len(data) and data[at] & 0xC0 == 0x80:
@@ -208,4 +238,4 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
     before = F.coalesce(F.sum("chars").over(Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counted.withColumn("chars_before", before).drop("chars").repartition("path", "range_no")
     ranges = placed.mapInArrow(load, "item struct<path:string>, range_no bigint, base bigint, begin int, stop int, first boolean, last boolean, chunk string")
-    return numbered(piece_rows(ranges, most, back)).select("item.path", "piece_no", "piece_start", "piece_end", "piece_text")
+    return numbered(piece_rows(ranges, most, back), Workspace(spark, "pieces")).select("item.path", "piece_no", "piece_start", "piece_end", "piece_text")

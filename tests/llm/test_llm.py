@@ -82,16 +82,19 @@ def check_pieces(found, text, limit=512, overlap=64):
     assert found[0].piece_start == 0 and found[-1].piece_end == len(text)
     for r in found:
         assert r.piece_text == text[r.piece_start : r.piece_end] and max(1, len(r.piece_text) // 4) <= limit
+    before = 0
     for a, b in zip(found, found[1:]):
         assert a.piece_start < b.piece_start < a.piece_end < b.piece_end and (a.piece_end - b.piece_start) // 4 <= overlap
-        window = text[a.piece_end - 700 : a.piece_end]
-        assert text[a.piece_end].isspace() or text[a.piece_end - 1] in "。！？" or not any(c.isspace() for c in window)
+        # no word end lies in the piece beyond the end of the one before
+        ends = [e for e in range(max(a.piece_start + 1, before + 1), a.piece_end) if text[e].isspace() and not text[e - 1].isspace()]
+        before = a.piece_end
+        assert text[a.piece_end].isspace() or text[a.piece_end - 1] in "。！？" or not ends
 
 
 def oversized():
     random.seed(4)
     prose = lambda n: "".join(random.choice(["word ", "Sentence ends. ", "\n\n", "\n", "é😀 ", "longer-word "]) for _ in range(n))
-    return ["", None, "short", "x" * 2051, "x" * 2052, "y" * 100_000, "é" * 5000, " " * 9000, prose(300), prose(3000), prose(30_000), "漢字。" * 4000, "a " * 2000 + "b" * 6000, ("c " * 900 + "\n\n") * 50]
+    return ["", None, "short", "x" * 2051, "x" * 2052, "y" * 100_000, "é" * 5000, " " * 9000, prose(300), prose(3000), prose(30_000), "漢字。" * 4000, "a " * 2000 + "b" * 6000, ("c " * 900 + "\n\n") * 50, "word " * 6320 + "t" * 1500 + " word" * 700, ("s" * 2040 + " ") * 40]
 
 
 @pytest.mark.parametrize("size", [4096, pieces.RANGE])
@@ -108,11 +111,11 @@ def test_pieces(spark, size):
 
 
 def test_pieces_of_files_match_the_texts(spark, tmp_path):
-    texts = {f"f{k}.txt": t for k, t in enumerate(oversized()) if t is not None}
+    texts = {f"f {k}%20.txt": t for k, t in enumerate(oversized()) if t is not None}
     for name, t in texts.items():
         (tmp_path / name).write_bytes(t.encode())
     got = collections.defaultdict(list)
-    for r in pieces.split_files(spark, [str(tmp_path)], size=8192).collect():
+    for r in pieces.split_files(spark, [str(tmp_path)], size=16_384).collect():
         got[r.path.rsplit("/", 1)[-1]].append(r)
     assert set(got) == {n for n, t in texts.items() if t}
     for name, found in got.items():
