@@ -134,7 +134,7 @@ def in_form(text):
 
 TEXTS = [
     None, "", "plain ascii\ttext\n", "Ｔａｒｉｆｆ　Βoard", "café", "café", "ą́ ą́", "zero​width", "no break", "ﬁne ﬂow", "Мир и Рим", "Hаrbour", "Ελλάδα", "x²½ “q” – №™",
-    "ひらがな 漢字。", "ｶﾞ", "हिन्दी", "क‍ष", "Kelvin K", "​", "Ж" "w", "한국어", "한", "é" * 3000, "́start", "pаypаl-Ωmega", "ё" "vil",
+    "ひらがな 漢字。", "ｶﾞ", "हिन्दी", "क‍ष", "Kelvin K", "​", "Ж" "w", "한국어", "한", "é" * 3000, "́start", "pаypаl-Ωmega", "ё" "vil", "ﻻ ﷲ", "aᅟb", "ㅤ",
 ]
 
 
@@ -154,6 +154,28 @@ def test_consistent_form(spark):
     assert forms["Ｔａｒｉｆｆ　Βoard"] == "Tariff Board" and forms["café"] == "café" and forms["Hаrbour"] == "Harbour" and forms["ﬁne ﬂow"] == "fine flow"
 
 
+def test_recomposition_matches_the_public_rules():
+    random.seed(11)
+    parts = [chr(k) for k in (0x61, 0x41, 0x301, 0x323, 0x327, 0x308, 0x304, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x9C7, 0x9BE, 0x915, 0x93C, 0x1F600, 0x338, 0x3D, 0x345, 0x3B1, 0x314, 0x1161, 0x11A7)]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(6000)]
+    texts += [chr(k) for k in range(0x21, 0x110000, 7) if not 0xD800 <= k < 0xE000]
+    assert lookalike.composed_texts([unicodedata.normalize("NFD", t) for t in texts]) == [unicodedata.normalize("NFC", t) for t in texts]
+    assert lookalike.composed_texts([]) == [] and lookalike.composed_texts([""]) == [""]
+
+
+def test_public_lookalikes(spark):
+    known = {r.ch: r for r in lookalike.lookalikes(spark).collect()}
+    assert len(known) > 200 and (known["а"].latin, known["ѕ"].latin, known["ԛ"].latin) == ("a", "s", "q")
+    assert all(getattr(r, unicodedata.name(c).split(" ")[0].lower()) == c for c, r in known.items())
+
+
+def test_many_forms_join_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "broadcast_if_small", lambda df, *_: df)
+    df = spark.createDataFrame([(k, "Ｔａｒｉｆｆ now" if k % 3 else "plain é") for k in range(90)], "key int, text string")
+    assert lookalike.inconsistent(df, ["key"], "text").count() == 60
+    assert {r.consistent_text for r in lookalike.consistent(df, "text").collect()} == {"Tariff now", "plain é"}
+
+
 # 6: encoding
 
 
