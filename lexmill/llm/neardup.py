@@ -1,23 +1,36 @@
 """Problem 1: near-duplicate records with small edits.
 
 Method: vertical partitioning. The word n-grams of all texts have one global order, rarest first; that order is cut into
-fragments; the overlap of a pair is counted in each fragment separately and summed. Pairs are only counted where their
-prefixes (the rarest n-grams, of which a similar pair must share one) meet under the length and position filters, so no
-n-gram's records are paired with each other as such; sketches of the fragments rule out most of what meets. Texts of the same words are one class throughout.
+fragments, and each record into its segments. What lies of a record's prefix in a fragment is joined there, in blocks
+where an n-gram is hot; what two segments can share at most is bounded in each fragment and summed, and for the pairs left
+the partial overlaps of the fragments are counted separately and summed per pair.
+
+Texts of the same words are one class throughout. The order goes by a sketch of fixed size of the n-grams' counts, so it
+needs no join; any order gives the same pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import Workspace
+from lexmill.llm.textarrays import WORD_BASE, U, code_points, mix, window_hashes
+from lexmill.session import Workspace, broadcast_if_small
 
 WIDTH, THRESHOLD, FRAGMENTS = 5, "0.8", 4
 #: Records of one n-gram that one block of the prefix join holds; n-grams with more are split into blocks.
-BLOCK = 512
+BLOCK = 4096
+#: Copies of one text that one block holds when pairs of records are listed.
+COPIES = 512
+#: Counters of the sketch, as a power of two, and counters in one row of it.
+SKETCH_BITS, PAGE = 20, 4096
+#: Code points, postings and meetings that one step of the array code holds.
+POINTS, ROWS, MEETINGS = 2 << 20, 1 << 17, 1 << 20
 
 
 def words_of(text: str) -> Column:
@@ -26,9 +39,237 @@ def words_of(text: str) -> Column:
 
 
 def classes_of(df: DataFrame, keys: list[str], text: str, least_words: int) -> DataFrame:
-    """keys, class (hash of the words) and words of each distinct record with enough words."""
-    words = df.select(*keys, words_of(text).alias("words")).where(F.size("words") >= least_words)
-    return words.withColumn("class", F.unhex(F.md5(F.array_join("words", " ")))).dropDuplicates([*keys, "class"])
+    """keys, class (hash of the words) and words (parted by spaces) of each distinct record with enough words."""
+    words = df.select(*keys, words_of(text).alias("w")).where(F.size("w") >= least_words).select(*keys, F.array_join("w", " ").alias("words"))
+    return words.withColumn("class", F.unhex(F.md5("words"))).dropDuplicates([*keys, "class"])
+
+
+def gram_arrays(texts: list[str], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row from there, hash) of the n-grams of texts whose words are parted by spaces, repeats included."""
+    begin = 0
+    while begin < len(texts):
+        stop, size = begin, 0
+        while stop < len(texts) and (size == 0 or size + len(texts[stop]) < POINTS):
+            size += len(texts[stop]) + 1
+            stop += 1
+        points = code_points("\n".join(texts[begin:stop]) + "\n")
+        end_of_text = np.flatnonzero(points == 10)
+        inside = (points != 32) & (points != 10)
+        edge = np.diff(np.r_[False, inside, False].astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first = np.cumsum(end - start) - (end - start)
+        place = np.arange(int((end - start).sum())) - np.repeat(first, end - start)
+        with np.errstate(over="ignore"):
+            word = np.add.reduceat(mix(points[inside].astype(U) | (place.astype(U) << U(21))), first) if len(first) else np.empty(0, U)
+        row = np.searchsorted(end_of_text, start)
+        grams = window_hashes(word, width, WORD_BASE)
+        whole = row[: len(grams)] == row[width - 1 :] if len(grams) else np.zeros(0, bool)
+        yield begin, row[: len(grams)][whole], grams[whole]
+        begin = stop
+
+
+def sketch(classes: DataFrame, width: int) -> np.ndarray:
+    """How often n-grams of each hash bucket occur: 2 ** SKETCH_BITS counters, whatever the input's size. Each task adds
+    up its own, in a sketch's memory; so do those that merge them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for _, _, grams in gram_arrays(batch.column(0).to_pylist(), width):
+                total += np.bincount((grams >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        pages = total.reshape(-1, PAGE)
+        used = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([p.tobytes() for p in pages[used]], pa.binary())], names=["page", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(counts.as_buffer(), np.int64)
+                total[page] = total[page] + own if page in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["page", "counts"])
+
+    kind = "page int, counts binary"
+    out = np.zeros((1 << SKETCH_BITS) // PAGE * PAGE, np.int64).reshape(-1, PAGE)
+    for r in classes.select("words").mapInArrow(count, kind).repartition("page").mapInArrow(merge, kind).collect():
+        out[r.page] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """The counts on a scale of eighths of a doubling, in a byte; 0 for n-grams that occur once at most."""
+    return np.where(counts > 1, np.minimum(255, np.floor(np.log2(np.maximum(counts, 2)) * 8)), 0).astype(np.uint8)
+
+
+def pivots_of(counts: np.ndarray, levels: np.ndarray, fragments: int) -> np.ndarray:
+    """The levels at which the order is cut, so that each fragment has about as many occurrences."""
+    weight = np.cumsum(np.bincount(levels, np.where(levels > 0, counts, 0), 256))
+    return np.array([int(np.searchsorted(weight, weight[-1] * k / fragments)) for k in range(1, fragments)], np.int64)
+
+
+def ordered(texts: list[str], width: int, levels: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, n-gram, its place in the row's order, its fragment) of the distinct n-grams of each text, in the global order.
+    The fragment is -1 for n-grams that occur nowhere else; they come first."""
+    for begin, row, gram in gram_arrays(texts, width):
+        level = levels[(gram >> U(64 - SKETCH_BITS)).astype(np.int64)]
+        order = np.lexsort((gram, level, row))
+        row, gram, level = row[order], gram[order], level[order]
+        once = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
+        row, gram, level = row[once], gram[once], level[once].astype(np.int64)
+        first = np.searchsorted(row, row)
+        yield row + begin, gram, np.arange(len(row)) - first, np.where(level > 0, np.searchsorted(pivots, level), -1)
+
+
+POSTING = "gram bigint, id bigint, n int, at int, risky boolean"
+
+
+def postings(classes: DataFrame, width: int, counts: np.ndarray, levels: np.ndarray, pivots: np.ndarray, t: Fraction) -> DataFrame:
+    """POSTING of the prefix of each class, with what bounds its overlaps: for each fragment, how many n-grams its segment
+    has, and a sketch of 64 bits: the parity of the n-grams that fall on each bit."""
+    fragments = len(pivots) + 1
+    names = [*(x.split()[0] for x in POSTING.split(", ")), *(f"z{f}" for f in range(fragments)), *(f"s{f}" for f in range(fragments))]
+    shared = classes.sparkSession.sparkContext.broadcast((levels, counts > BLOCK, pivots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, hot, pivots = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for row, gram, at, fragment in ordered(batch.column(1).to_pylist(), width, levels, pivots):
+                if not len(row):
+                    continue
+                low, rows = row[0], int(row[-1] - row[0]) + 1
+                n = np.bincount(row - low, minlength=rows)
+                segment = (row - low) * fragments + fragment
+                used = fragment >= 0
+                size = np.bincount(segment[used], minlength=rows * fragments).reshape(rows, fragments)
+                parity = np.zeros(rows * fragments, U)
+                own = segment[used]
+                if len(own):
+                    edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    parity[own[edge]] = np.bitwise_xor.reduceat(U(1) << (gram[used] & U(63)), edge)
+                parity = parity.reshape(rows, fragments)
+                prefix = n + 1 + (-n * t.numerator // t.denominator)
+                pick = np.flatnonzero(used & (at < prefix[row - low]))
+                k = row[pick] - low
+                cols = [gram[pick].view(np.int64), ids[row[pick]], n[k].astype(np.int32), at[pick].astype(np.int32), hot[(gram[pick] >> U(64 - SKETCH_BITS)).astype(np.int64)]]
+                cols += [size[k, f].astype(np.int32) for f in range(fragments)] + [parity[k, f].view(np.int64) for f in range(fragments)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    extra = [f"z{f} int" for f in range(fragments)] + [f"s{f} bigint" for f in range(fragments)]
+    return classes.select("id", "words").mapInArrow(run, ", ".join([POSTING, *extra]))
+
+
+def celled(rows: DataFrame) -> DataFrame:
+    """Adds the cell in which a posting meets others, and its side: an n-gram of more than BLOCK postings is split into
+    blocks by a hash of the id, and each pair of blocks has a cell (a block alone has side 2). Only n-grams whose sketch
+    says they might be that hot are counted."""
+    hot = rows.where("risky").groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK).select("gram", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+    hot = Workspace(rows.sparkSession, "hot").write(hot)
+    risky = rows.where("risky").join(broadcast_if_small(hot, hot.count(), 32), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    risky = risky.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    risky = risky.withColumn("cell", cell).withColumn("side", side.cast("byte")).drop("blocks", "own", "other")
+    return rows.where("not risky").withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(2).cast("byte")).unionByName(risky)
+
+
+def meetings(c: dict[str, np.ndarray], fragments: int, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, n of a, n of b) of pairs that may be similar, of postings in order of (gram, cell). Of two records the longer
+    one's prefix meets a shorter prefix of the other; lengths, places and the fragments' bounds rule out most."""
+    num, den = t.numerator, t.denominator
+    change = (c["gram"][1:] != c["gram"][:-1]) | (c["cell"][1:] != c["cell"][:-1])
+    group = np.r_[0, np.cumsum(change)].astype(np.int64)
+    order = np.lexsort((c["id"], c["n"], group))
+    group, n, at, ids, side = group[order], *(c[k][order].astype(np.int64) for k in ("n", "at", "id", "side"))
+    indexed = at <= n - -(-2 * n * num // (num + den))
+    before = np.r_[0, np.cumsum(indexed)]
+    entries = np.flatnonzero(indexed)
+    low = before[np.searchsorted(group << 32 | n, group << 32 | -(-n * num // den))]
+    count = before[:-1] - low
+    probes = np.flatnonzero(count > 0)
+    upto = np.cumsum(count[probes])
+    size = [c[f"z{f}"][order].astype(np.int64) for f in range(fragments)]
+    parity = [c[f"s{f}"][order].view(U) for f in range(fragments)]
+    begin = 0
+    while begin < len(probes):
+        stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + MEETINGS, "right")))
+        own = probes[begin:stop]
+        a = np.repeat(own, count[own])
+        shift = np.cumsum(count[own]) - count[own]
+        b = entries[np.arange(len(a)) - np.repeat(shift - low[own], count[own])]
+        begin = stop
+        need = -(-(n[a] + n[b]) * num // (num + den))
+        good = (np.minimum(n[a] - at[a], n[b] - at[b]) >= need) & ((side[a] == 2) | (side[a] != side[b])) & (ids[a] != ids[b])
+        a, b, need = a[good], b[good], need[good]
+        # in a fragment two segments share no more than the smaller has, nor than the parities leave; the sum bounds the pair
+        most = np.zeros(len(a), np.int64)
+        for z, s in zip(size, parity):
+            za, zb = z[a], z[b]
+            most += np.minimum(np.minimum(za, zb), (za + zb - np.bitwise_count(s[a] ^ s[b])) // 2)
+        good = most >= need
+        a, b = a[good], b[good]
+        if len(a):
+            swap = ids[a] > ids[b]
+            x, y = np.where(swap, b, a), np.where(swap, a, b)
+            once = np.unique(np.stack([ids[x], ids[y]]), axis=1, return_index=True)[1]
+            yield ids[x[once]], ids[y[once]], n[x[once]].astype(np.int32), n[y[once]].astype(np.int32)
+
+
+def joined(rows: DataFrame, fragments: int, t: Fraction) -> DataFrame:
+    """a, b, na, nb of the pairs that meet. Rows are sorted by (gram, cell) in each partition and taken a few at a time."""
+    names = rows.columns
+    spark = rows.sparkSession
+    # the work grows with the pairs that meet, not with the rows, by whose size tasks would be merged
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def out(parts: list[dict[str, np.ndarray]], last: bool) -> Iterator[pa.RecordBatch]:
+            c = {k: np.concatenate([p[k] for p in parts]) for k in names}
+            # the last cell may go on in the next batch
+            end = len(c["gram"])
+            if not last:
+                same = (c["gram"] == c["gram"][-1]) & (c["cell"] == c["cell"][-1])
+                end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if end:
+                for a, b, na, nb in meetings({k: v[:end] for k, v in c.items()}, fragments, t):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb)], names=["a", "b", "na", "nb"])
+            held[:] = [{k: v[end:] for k, v in c.items()}] if end < len(c["gram"]) else []
+
+        for batch in batches:
+            held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+            size += batch.num_rows
+            if size >= ROWS:
+                yield from out(held, False)
+                size = sum(len(h["gram"]) for h in held)
+                if size >= ROWS:
+                    size = ROWS // 2
+        if held and sum(len(h["gram"]) for h in held):
+            yield from out(held, True)
+
+    placed = rows.repartition(tasks, "gram", "cell").sortWithinPartitions("gram", "cell")
+    return placed.mapInArrow(run, "a bigint, b bigint, na int, nb int")
+
+
+def segments(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndarray) -> DataFrame:
+    """id, f, grams: the segment of each class in each fragment where it has one."""
+    shared = classes.sparkSession.sparkContext.broadcast((levels, pivots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, pivots = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for row, gram, _, fragment in ordered(batch.column(1).to_pylist(), width, levels, pivots):
+                row, gram, fragment = row[fragment >= 0], gram[fragment >= 0], fragment[fragment >= 0]
+                if not len(row):
+                    continue
+                edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (fragment[1:] != fragment[:-1])])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[edge, len(row)].astype(np.int32)), pa.array(gram.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[edge]]), pa.array(fragment[edge].astype(np.int32)), lists], names=["id", "f", "grams"])
+
+    return classes.select("id", "words").mapInArrow(run, "id bigint, f int, grams array<bigint>")
 
 
 def similar_classes(members: DataFrame, work: Workspace, width: int, threshold: str, fragments: int) -> DataFrame:
@@ -36,58 +277,18 @@ def similar_classes(members: DataFrame, work: Workspace, width: int, threshold:
     or more, with the sizes of both sets and of their overlap."""
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (width - 1)), lambda i: F.xxhash64(*[F.element_at("words", (i + k).cast("int")) for k in range(width)]))
-    sets = members.where(F.size("words") >= width).groupBy("class").agg(F.first("words").alias("words")).select("class", F.array_distinct(grams).alias("grams"))
     # ids are numbered once, as the table is written
-    sets = work.write(sets.select(F.monotonically_increasing_id().alias("id"), "class", F.size("grams").alias("n"), "grams"))
-    postings = sets.select("id", "n", F.explode("grams").alias("gram"))
-    counts = work.write(postings.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
-    # the global order goes by frequency, then by hash; n-grams of one class alone come before all and never match. It is
-    # cut where the fragments hold about as many occurrences each, by a histogram of some hundred buckets at most
-    buckets = counts.groupBy(F.floor(F.log2("df") * 8).alias("b")).agg(F.max("df").alias("top"), F.sum("df").alias("weight")).orderBy("b").collect()
-    whole, so_far, pivots = sum(r.weight for r in buckets), 0, []
-    for r in buckets:
-        so_far += r.weight
-        if len(pivots) < fragments - 1 and so_far * fragments >= whole * (len(pivots) + 1):
-            pivots.append(r.top)
-    fragment = lambda x: sum(((x["df"] > F.lit(p)).cast("int") for p in pivots), F.lit(0))
-    shared = postings.join(counts, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"))
-    # a sketch of 64 bits a fragment: the parity of the n-grams that fall on each bit. Two records differ in at least as
-    # many n-grams as their sketches have different bits, which bounds the overlap from above before it is counted
-    bit = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x["gram"], F.lit(64)).cast("int")))
-    part = lambda f: F.filter("order", lambda x: fragment(x) == f)
-    sketches = [F.aggregate(part(F.lit(f)), F.lit(0).cast("long"), bit).alias(f"s{f}") for f in range(fragments)]
-    shared = work.write(shared.select("id", "n", "order", F.size("order").alias("m"), *sketches))
-    # prefix: the first n - ceil(t n) + 1 n-grams, of which n - m belong to one class alone
-    lone = F.col("n") - F.col("m")
-    length = F.greatest(F.lit(0), F.least(F.col("m"), F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1 - lone)).cast("int")
-    prefix = shared.select("id", "n", "m", *[f"s{f}" for f in range(fragments)], F.posexplode(F.slice("order", F.lit(1), length)).alias("k", "x"))
-    prefix = prefix.select("*", (lone + F.col("k")).alias("at"), "x.gram", F.ceil(F.col("x.df") / BLOCK).cast("int").alias("blocks")).drop("k", "x")
-    prefix = prefix.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # every pair of blocks of an n-gram meets once: the left side goes to its own block and the later ones
-    named = lambda df, side: df.select("gram", "block", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "m", "at", *(f"s{f}" for f in range(fragments)))], *([F.col("own")] if side == "a" else []))
-    left = named(prefix.withColumnRenamed("block", "own").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= block"), "a")
-    right = named(prefix, "b")
-    total = F.col("a_n") + F.col("b_n")
-    need = F.ceil(total * (num / (num + den)) - 1e-9)
-    apart = sum((F.bit_count(F.col(f"a_s{f}").bitwiseXOR(F.col(f"b_s{f}"))) for f in range(fragments)), F.lit(0))
-    # the work of this join grows with the pairs that meet, not with its input, by whose size tasks would be merged
-    session = members.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
-    met = left.repartition(tasks, "gram", "block").join(right.repartition(tasks, "gram", "block"), ["gram", "block"]).where(
-        ((F.col("own") < F.col("block")) | (F.col("a_id") < F.col("b_id")))
-        & (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-        & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need)
-        & (F.col("a_m") + F.col("b_m") - apart >= need * 2)
-    )
-    first = F.col("a_id") < F.col("b_id")
-    sided = lambda c: [F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))]
-    (a, b), (na, nb) = sided("id"), sided("n")
-    pairs = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
-    # the order cut into fragments, and each pair's overlap counted fragment by fragment
-    pairs = work.write(pairs)
+    classes = members.groupBy("class").agg(F.first("words").alias("words"))
+    classes = work.write(classes.select(F.monotonically_increasing_id().alias("id"), "class", "words"))
+    counts = sketch(classes, width)
+    levels = levels_of(counts)
+    pivots = pivots_of(counts, levels, fragments)
+    rows = work.write(postings(classes, width, counts, levels, pivots, t))
+    pairs = work.write(joined(celled(rows), fragments, t).distinct())
+    work.drop(rows)
     paired = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    cut = shared.join(paired, "id", "left_semi").select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda f: F.struct(f.alias("f"), F.transform(part(f), lambda x: x["gram"]).alias("grams")))).alias("x")).select("id", "x.f", "x.grams")
+    cut = work.write(segments(classes.join(paired, "id", "left_semi"), width, levels, pivots))
+    # each pair's overlap counted fragment by fragment, and the partial overlaps summed
     partial = (
         pairs.join(cut.select(F.col("id").alias("a"), "f", F.col("grams").alias("ga")), "a")
         .join(cut.select(F.col("id").alias("b"), "f", F.col("grams").alias("gb")), ["b", "f"])
@@ -95,7 +296,7 @@ def similar_classes(members: DataFrame, work: Workspace, width: int, threshold:
     )
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
     found = work.write(summed.where(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num))
-    names = sets.select(F.col("id"), "class")
+    names = classes.select("id", "class")
     out = found.join(names.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(names.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b")
     return work.write(out.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb", "overlap"))
 
@@ -113,17 +314,28 @@ def near_duplicates(df: DataFrame, keys: list[str], text: str, width: int = WIDT
 
 def similar_pairs(members: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs of different records that are similar, copies included: a_<key>, b_<key>, (a) < (b) in the keys' order.
-    The rows are as many as the pairs; near_duplicates alone keeps them to classes."""
-    side = lambda s: members.select(F.col("class").alias(s), *[F.col(k).alias(f"{s}_{k}") for k in keys])
-    cross = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").drop("a", "b")
-    a, b = F.struct(*[F.col(f"a_{k}") for k in keys]), F.struct(*[F.col(f"b_{k}") for k in keys])
-    turned = cross.select(*[F.when(a < b, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")).alias(f"a_{k}") for k in keys], *[F.when(a < b, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(f"b_{k}") for k in keys])
-    # a record whose versions fall into two classes isn't a pair with itself
-    turned = turned.where(F.struct(*[F.col(f"a_{k}") for k in keys]) < F.struct(*[F.col(f"b_{k}") for k in keys]))
-    several = members.groupBy("class").count().where("count > 1").select("class")
-    twins = members.join(several, "class", "left_semi")
-    twins = twins.select(F.col("class"), *[F.col(k).alias(f"a_{k}") for k in keys]).join(twins.select(F.col("class"), *[F.col(k).alias(f"b_{k}") for k in keys]), "class").drop("class").where(a < b)
-    return turned.unionByName(twins.select(*turned.columns)).distinct()
+    The rows are as many as the pairs; near_duplicates alone keeps them to classes.
+
+    Copies of a text are listed in blocks of COPIES, so that no task has more than two blocks of a class. A class meets
+    itself and those of its pairs once, so only records with several texts can bring a pair twice: those alone are made
+    distinct."""
+    members = members.select(F.struct(*keys).alias("key"), "class")
+    several = members.groupBy("key").agg(F.count("*").alias("versions"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / COPIES).cast("int")
+    wanted = pairs.select("a", "b").unionAll(sizes.where("size > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    counted = lambda side: sizes.select(F.col("class").alias(side), blocks.alias(f"{side}_blocks"))
+    cells = wanted.join(counted("a"), "a").join(counted("b"), "b").withColumn("a_block", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
+    cells = cells.where("a <> b or a_block <= b_block").select("a", "b", "a_block", "b_block")
+    own = members.join(several, "key").join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    side = lambda s: own.select(F.col("class").alias(s), F.col("block").alias(f"{s}_block"), F.col("key").alias(f"{s}_key"), (F.col("versions") > 1).alias(f"{s}_many"))
+    cross = cells.join(side("a"), ["a", "a_block"]).join(side("b"), ["b", "b_block"])
+    # within a block both orders meet; a record whose versions fall into two classes isn't a pair with itself
+    cross = cross.where(F.when((F.col("a") == F.col("b")) & (F.col("a_block") == F.col("b_block")), F.col("a_key") < F.col("b_key")).otherwise(F.col("a_key") != F.col("b_key")))
+    low, high = F.least("a_key", "b_key"), F.greatest("a_key", "b_key")
+    out = lambda df: df.select(*[low[k].alias(f"a_{k}") for k in keys], *[high[k].alias(f"b_{k}") for k in keys])
+    again = F.col("a_many") | F.col("b_many")
+    return out(cross.where(~again)).unionAll(out(cross.where(again)).distinct())
 
 
 def records_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:

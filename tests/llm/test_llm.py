@@ -27,6 +27,8 @@ def jaccard(x, y):
 @pytest.mark.parametrize("width,threshold,block", [(3, "0.6", 2), (5, "0.8", 512)])
 def test_near_duplicates_match_all_pairs(spark, monkeypatch, width, threshold, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    for name in ("ROWS", "MEETINGS", "COPIES") if block == 2 else ():
+        monkeypatch.setattr(neardup, name, 3)
     random.seed(1)
     lexicon = [f"w{k}" for k in range(60)] + ["Ünï", "Straße", "x1"]
     base = [[random.choice(lexicon) for _ in range(random.randint(5, 40))] for _ in range(25)]
@@ -37,16 +39,26 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, width, threshold, b
             for _ in range(random.randint(0, 3)):
                 c[random.randrange(len(c))] = random.choice(lexicon)
             texts.append(random.choice([" ", "  ", ", "]).join(c).upper() if random.random() < 0.2 else ". ".join(c))
-    texts += [texts[0]] * 6 + [None, "", "  ", "too short", "a " * 40]
+    texts += [texts[0]] * 20 + [None, "", "  ", "too short", "a " * 40]
     rows = [("D", str(k), t, "extra") for k, t in enumerate(texts)] + [("D", "0", texts[0], "again")]
+    # one key with two texts
+    rows += [("D", "two", texts[1], ""), ("D", "two", texts[2], ""), ("D", "three", texts[1], ""), ("D", "three", texts[2], "")]
     df = spark.createDataFrame(rows, "doc_id string, clause_id string, clause_text string, a string")
     keys = ["doc_id", "clause_id"]
     members, pairs = neardup.near_duplicates(df, keys, "clause_text", width, threshold, 12)
     got = {(r.a_clause_id, r.b_clause_id) for r in neardup.similar_pairs(members, pairs, keys).collect()}
-    sets = {str(k): set(zip(*[words(t)[i:] for i in range(width)])) for k, t in enumerate(texts) if t and len(words(t)) >= 12}
-    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= float(threshold)}
+    sets = collections.defaultdict(list)
+    for _, c, t, _ in rows:
+        if t and len(words(t)) >= 12:
+            sets[c].append(set(zip(*[words(t)[i:] for i in range(width)])))
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if any(jaccard(x, y) >= float(threshold) for x in sets[a] for y in sets[b])}
     assert got == want and want
-    links = {r.clause_id: r.n_links for r in neardup.links(members, pairs, keys).collect()}
+    once = neardup.similar_pairs(members, pairs, keys)
+    assert once.count() == len(want)
+    single = members.where("clause_id not in ('two', 'three')")
+    want = {p for p in want if not {"two", "three"} & set(p)}
+    sets = {c: x for c, x in sets.items() if c not in ("two", "three")}
+    links = {r.clause_id: r.n_links for r in neardup.links(single, pairs, keys).collect()}
     degree = collections.Counter(x for p in want for x in p)
     assert links == {k: degree[k] for k in sets}
 
