@@ -34,14 +34,18 @@ POINTS, ROWS, MEETINGS = 2 << 20, 1 << 17, 1 << 20
 
 
 def words_of(text: str) -> Column:
-    """Maximal runs of letters or digits of the lower-cased text."""
-    return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """The maximal runs of letters or digits of the lower-cased text, parted by spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
 
 
-def classes_of(df: DataFrame, keys: list[str], text: str, least_words: int) -> DataFrame:
-    """keys, class (hash of the words) and words (parted by spaces) of each distinct record with enough words."""
-    words = df.select(*keys, words_of(text).alias("w")).where(F.size("w") >= least_words).select(*keys, F.array_join("w", " ").alias("words"))
-    return words.withColumn("class", F.unhex(F.md5("words"))).dropDuplicates([*keys, "class"])
+def n_words(words: str) -> Column:
+    return F.when(F.col(words) == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+
+
+def versions_of(df: DataFrame, keys: list[str], text: str, least_words: int) -> DataFrame:
+    """keys, class (hash of the words) and words of each row with enough words."""
+    words = df.select(*keys, words_of(text).alias("words")).where(n_words("words") >= least_words)
+    return words.withColumn("class", F.unhex(F.md5("words")))
 
 
 def gram_arrays(texts: list[str], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -120,18 +124,19 @@ def ordered(texts: list[str], width: int, levels: np.ndarray, pivots: np.ndarray
         yield row + begin, gram, np.arange(len(row)) - first, np.where(level > 0, np.searchsorted(pivots, level), -1)
 
 
-POSTING = "gram bigint, id bigint, n int, at int, risky boolean"
+#: bounds: for each fragment how many n-grams the segment has, then for each the parity of those that fall on each of 64
+#: bits, 8 bytes each.
+POSTING = "gram bigint, id bigint, n int, at int, bounds binary"
 
 
-def postings(classes: DataFrame, width: int, counts: np.ndarray, levels: np.ndarray, pivots: np.ndarray, t: Fraction) -> DataFrame:
-    """POSTING of the prefix of each class, with what bounds its overlaps: for each fragment, how many n-grams its segment
-    has, and a sketch of 64 bits: the parity of the n-grams that fall on each bit."""
+def postings(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndarray, t: Fraction) -> DataFrame:
+    """POSTING of the prefix of each class."""
     fragments = len(pivots) + 1
-    names = [*(x.split()[0] for x in POSTING.split(", ")), *(f"z{f}" for f in range(fragments)), *(f"s{f}" for f in range(fragments))]
-    shared = classes.sparkSession.sparkContext.broadcast((levels, counts > BLOCK, pivots))
+    names = [x.split()[0] for x in POSTING.split(", ")]
+    shared = classes.sparkSession.sparkContext.broadcast((levels, pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, hot, pivots = shared.value
+        levels, pivots = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, gram, at, fragment in ordered(batch.column(1).to_pylist(), width, levels, pivots):
@@ -141,36 +146,52 @@ def postings(classes: DataFrame, width: int, counts: np.ndarray, levels: np.ndar
                 n = np.bincount(row - low, minlength=rows)
                 segment = (row - low) * fragments + fragment
                 used = fragment >= 0
-                size = np.bincount(segment[used], minlength=rows * fragments).reshape(rows, fragments)
-                parity = np.zeros(rows * fragments, U)
+                bounds = np.zeros((rows, 2 * fragments), U)
+                bounds[:, :fragments] = np.bincount(segment[used], minlength=rows * fragments).reshape(rows, fragments)
                 own = segment[used]
                 if len(own):
                     edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    parity[own[edge]] = np.bitwise_xor.reduceat(U(1) << (gram[used] & U(63)), edge)
-                parity = parity.reshape(rows, fragments)
+                    bounds[own[edge] // fragments, fragments + own[edge] % fragments] = np.bitwise_xor.reduceat(U(1) << (gram[used] & U(63)), edge)
                 prefix = n + 1 + (-n * t.numerator // t.denominator)
                 pick = np.flatnonzero(used & (at < prefix[row - low]))
                 k = row[pick] - low
-                cols = [gram[pick].view(np.int64), ids[row[pick]], n[k].astype(np.int32), at[pick].astype(np.int32), hot[(gram[pick] >> U(64 - SKETCH_BITS)).astype(np.int64)]]
-                cols += [size[k, f].astype(np.int32) for f in range(fragments)] + [parity[k, f].view(np.int64) for f in range(fragments)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                size = 16 * fragments
+                blobs = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(np.arange(0, size * len(pick) + 1, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bounds[k]))])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[pick].view(np.int64)), pa.array(ids[row[pick]]), pa.array(n[k].astype(np.int32)), pa.array(at[pick].astype(np.int32)), blobs], names=names)
+
+    return classes.select("id", "words").mapInArrow(run, POSTING)
+
+
+def hot_grams(classes: DataFrame, width: int, counts: np.ndarray) -> DataFrame | None:
+    """gram, blocks of the n-grams that more than BLOCK classes have; None where the sketch rules out that there are any.
+    Only n-grams whose counter is that high are counted."""
+    risky = counts > BLOCK
+    if not risky.any():
+        return None
+    shared = classes.sparkSession.sparkContext.broadcast(risky)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, row, gram in gram_arrays(batch.column(0).to_pylist(), width):
+                pick = shared.value[(gram >> U(64 - SKETCH_BITS)).astype(np.int64)]
+                once = np.unique(np.stack([row[pick].astype(U), gram[pick]]), axis=1)[1]
+                found, n = np.unique(once, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    extra = [f"z{f} int" for f in range(fragments)] + [f"s{f} bigint" for f in range(fragments)]
-    return classes.select("id", "words").mapInArrow(run, ", ".join([POSTING, *extra]))
+    counted = classes.select("words").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    return Workspace(classes.sparkSession, "hot").write(counted.select("gram", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
 
 
-def celled(rows: DataFrame) -> DataFrame:
+def celled(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Adds the cell in which a posting meets others, and its side: an n-gram of more than BLOCK postings is split into
-    blocks by a hash of the id, and each pair of blocks has a cell (a block alone has side 2). Only n-grams whose sketch
-    says they might be that hot are counted."""
-    hot = rows.where("risky").groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK).select("gram", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    hot = Workspace(rows.sparkSession, "hot").write(hot)
-    risky = rows.where("risky").join(broadcast_if_small(hot, hot.count(), 32), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    risky = risky.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks by a hash of the id, and each pair of blocks has a cell (a block alone has side 2)."""
+    if hot is None:
+        return rows.withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(2).cast("byte"))
+    rows = rows.join(broadcast_if_small(hot, hot.count(), 32), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    risky = risky.withColumn("cell", cell).withColumn("side", side.cast("byte")).drop("blocks", "own", "other")
-    return rows.where("not risky").withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(2).cast("byte")).unionByName(risky)
+    return rows.withColumn("cell", cell).withColumn("side", side.cast("byte")).drop("blocks", "own", "other")
 
 
 def meetings(c: dict[str, np.ndarray], fragments: int, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
@@ -188,8 +209,8 @@ def meetings(c: dict[str, np.ndarray], fragments: int, t: Fraction) -> Iterator[
     count = before[:-1] - low
     probes = np.flatnonzero(count > 0)
     upto = np.cumsum(count[probes])
-    size = [c[f"z{f}"][order].astype(np.int64) for f in range(fragments)]
-    parity = [c[f"s{f}"][order].view(U) for f in range(fragments)]
+    bounds = c["bounds"][order]
+    size, parity = bounds[:, :fragments].astype(np.int64).T, bounds[:, fragments:].T
     begin = 0
     while begin < len(probes):
         stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + MEETINGS, "right")))
@@ -239,7 +260,11 @@ def joined(rows: DataFrame, fragments: int, t: Fraction) -> DataFrame:
             held[:] = [{k: v[end:] for k, v in c.items()}] if end < len(c["gram"]) else []
 
         for batch in batches:
-            held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+            part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names if k != "bounds"}
+            blobs = batch.column("bounds")
+            first = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset] if batch.num_rows else 0
+            part["bounds"] = np.frombuffer(blobs.buffers()[2], np.uint8)[first : first + 16 * fragments * batch.num_rows].copy().view(U).reshape(-1, 2 * fragments)
+            held.append(part)
             size += batch.num_rows
             if size >= ROWS:
                 yield from out(held, False)
@@ -272,20 +297,19 @@ def segments(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndar
     return classes.select("id", "words").mapInArrow(run, "id bigint, f int, grams array<bigint>")
 
 
-def similar_classes(members: DataFrame, work: Workspace, width: int, threshold: str, fragments: int) -> DataFrame:
+def similar_classes(versions: DataFrame, work: Workspace, width: int, threshold: str, fragments: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets of `width` consecutive words have a Jaccard similarity of `threshold`
     or more, with the sizes of both sets and of their overlap."""
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
     # ids are numbered once, as the table is written
-    classes = members.groupBy("class").agg(F.first("words").alias("words"))
+    classes = versions.groupBy("class").agg(F.first("words").alias("words"))
     classes = work.write(classes.select(F.monotonically_increasing_id().alias("id"), "class", "words"))
     counts = sketch(classes, width)
     levels = levels_of(counts)
     pivots = pivots_of(counts, levels, fragments)
-    rows = work.write(postings(classes, width, counts, levels, pivots, t))
-    pairs = work.write(joined(celled(rows), fragments, t).distinct())
-    work.drop(rows)
+    rows = celled(postings(classes, width, levels, pivots, t), hot_grams(classes, width, counts))
+    pairs = work.write(joined(rows, fragments, t).distinct())
     paired = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     cut = work.write(segments(classes.join(paired, "id", "left_semi"), width, levels, pivots))
     # each pair's overlap counted fragment by fragment, and the partial overlaps summed
@@ -308,8 +332,8 @@ def near_duplicates(df: DataFrame, keys: list[str], text: str, width: int = WIDT
     words are one class, whose members are all similar to each other; repeated rows count once. Columns other than keys
     and text are ignored."""
     work = Workspace(df.sparkSession, "neardup")
-    members = work.write(classes_of(df, keys, text, max(least_words, width)))
-    return members.select(*keys, "class"), similar_classes(members, work, width, threshold, fragments)
+    versions = work.write(versions_of(df, keys, text, max(least_words, width)))
+    return versions.select(*keys, "class").distinct(), similar_classes(versions, work, width, threshold, fragments)
 
 
 def similar_pairs(members: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -340,7 +364,7 @@ def similar_pairs(members: DataFrame, pairs: DataFrame, keys: list[str]) -> Data
 
 def records_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and class of each distinct record, however short its text; the class is null where the text is."""
-    return df.select(*keys, F.unhex(F.md5(F.array_join(words_of(text), " "))).alias("class")).distinct()
+    return df.select(*keys, F.unhex(F.md5(words_of(text))).alias("class")).distinct()
 
 
 def groups(pairs: DataFrame, work: Workspace) -> DataFrame:
