@@ -38,14 +38,14 @@ def words_of(text: str) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
 
 
-def n_words(words: str) -> Column:
-    return F.when(F.col(words) == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+def has_words(text: str, least: int) -> Column:
+    """Whether the text has that many words, told by one look from its start."""
+    return F.lower(F.col(text)).rlike(rf"\A[^\p{{L}}\p{{N}}]*+(?:[\p{{L}}\p{{N}}]++[^\p{{L}}\p{{N}}]++){{{max(least, 1) - 1}}}[\p{{L}}\p{{N}}]")
 
 
 def versions_of(df: DataFrame, keys: list[str], text: str, least_words: int) -> DataFrame:
     """keys, class (hash of the words) and words of each row with enough words."""
-    words = df.select(*keys, words_of(text).alias("words")).where(n_words("words") >= least_words)
-    return words.withColumn("class", F.unhex(F.md5("words")))
+    return df.where(has_words(text, least_words)).select(*keys, words_of(text).alias("words")).withColumn("class", F.unhex(F.md5("words")))
 
 
 def gram_arrays(texts: list[str], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
