@@ -80,15 +80,20 @@ def month_ends(first: datetime | None, last: datetime | None) -> list[datetime]:
     return cuts
 
 
-def replayed(spark: SparkSession, d: str) -> tuple[O.OrphanState, list[DataFrame]]:
+def replayed(spark: SparkSession, d: str, rule: str = "any") -> O.OrphanStore:
     references, parents = reference_rows(spark, d), parent_rows(spark, d)
     span = references.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
     cuts = [span.a + (span.b - span.a) * k / SLICES for k in range(1, SLICES)] if span.a is not None else []
-    return O.replay(references, parents, cuts)
+    return O.replay(references, parents, cuts, rule)[0]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphans(replayed(spark, d)[0]).distinct()
+    return replayed(spark, d).orphans()
+
+
+def p5_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the last row of each key: a deletion takes back what was there, so settled references wait again."""
+    return replayed(spark, d, "last").orphans()
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +107,7 @@ def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p5_found, p5_counts, p5_snapshots)}
+    return {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p5_found, p5_reopened, p5_counts, p5_snapshots)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -117,9 +122,18 @@ def oracle_sql() -> dict[str, str]:
         FROM up u JOIN n ON n.table_name = u.table_name AND n.doc_id = u.doc_id AND n.node_id = u.at_id
         WHERE n.parent_id IS NOT NULL AND NOT list_contains(u.seen[:len(u.seen) - 1], u.at_id)),
       ends AS (SELECT u.*, row_number() OVER (PARTITION BY table_name, doc_id, node_id ORDER BY dist DESC) AS r FROM up u),
-      told AS (SELECT n.*, e.at_id, e.dist, list_contains(e.seen[:len(e.seen) - 1], e.at_id) AS again, t.node_id IS NOT NULL AS known, t.parent_id AS top_parent
+      told AS (SELECT n.*, e.at_id, e.dist, e.seen, list_contains(e.seen[:len(e.seen) - 1], e.at_id) AS again, t.node_id IS NOT NULL AS known, t.parent_id AS top_parent
         FROM ends e JOIN n USING (table_name, doc_id, node_id) LEFT JOIN n t ON t.table_name = e.table_name AND t.doc_id = e.doc_id AND t.node_id = e.at_id WHERE e.r = 1)"""
+    ways = f"""WITH RECURSIVE {nodes},
+      way AS (SELECT *, CASE WHEN again THEN NULL WHEN known THEN seen ELSE seen[:len(seen) - 1] END AS way FROM told),
+      under AS (SELECT table_name, doc_id, unnest(way[2:]) AS node_id, node_id AS descendant_id, generate_subscripts(way[2:], 1) AS distance FROM way WHERE way IS NOT NULL)"""
     return {
+        "p4_paths": f"""{ways}, counts AS (SELECT table_name, doc_id, node_id, count(*) AS n FROM under GROUP BY ALL)
+      SELECT table_name, doc_id, node_id, parent_id, way[len(way)] AS root_id, len(way) AS depth, array_to_string(list_reverse(way), '/') AS path, CASE WHEN again AND at_id = node_id THEN 'cycle'
+        WHEN again THEN 'below_cycle' WHEN NOT known AND dist = 1 THEN 'lost_parent' WHEN NOT known THEN 'below_lost' ELSE 'ok' END AS status, coalesce(n, 0) AS n_descendants
+      FROM way LEFT JOIN counts USING (table_name, doc_id, node_id)""",
+        "p4_descendants": f"{ways} SELECT table_name, doc_id, node_id, descendant_id, distance FROM under",
+        "p5_snapshots": P5_SNAPSHOTS_SQL,
         "p4_found": f"""WITH RECURSIVE {nodes}
       SELECT table_name, doc_id, node_id, fault FROM (SELECT *, CASE
         WHEN again AND at_id = node_id THEN 'cycle'
@@ -127,6 +141,7 @@ def oracle_sql() -> dict[str, str]:
         WHEN NOT known AND dist = 1 THEN 'lost_parent'
         WHEN known AND top_parent IS NULL AND level <> dist + 1 THEN 'wrong_level' END AS fault FROM told) WHERE fault IS NOT NULL""",
         "p5_found": P5_SQL,
+        "p5_reopened": P5_SQL.replace("bool_or(deleted_at IS NULL)", "arg_max(deleted_at IS NULL, (ingested_at, deleted_at IS NULL))"),
         "p5_counts": f"SELECT table_name, field_name, period, reason, count(*) AS n FROM ({P5_SQL}) GROUP BY ALL",
     }
 
@@ -147,3 +162,24 @@ P5_SQL = """WITH refs AS (
         CASE WHEN first_at IS NULL THEN 'missing' WHEN NOT live THEN 'deleted' ELSE 'late' END AS reason
       FROM named r LEFT JOIN keys s ON s.k = r.k AND s.doc_id = r.owner
       WHERE first_at IS NULL OR NOT live OR first_at > came"""
+
+
+P5_SNAPSHOTS_SQL = """WITH refs AS (
+        SELECT table_name, field_name, doc_id, ord, end_id, min(ingested_at) AS came FROM (
+            SELECT 'edges' AS table_name, 'source' AS field_name, doc_id, ord, source AS end_id, ingested_at FROM edges
+            UNION ALL SELECT 'edges', 'target', doc_id, ord, target, ingested_at FROM edges
+            UNION ALL SELECT 'clause_refs', 'resolved_clause_id', doc_id, ord, 'clause_' || resolved_clause_id, ingested_at FROM clause_refs)
+        WHERE end_id IS NOT NULL AND NOT starts_with(end_id, 'unresolved_') GROUP BY ALL),
+      parents AS (SELECT 'law_' || doc_id AS k, doc_id, ingested_at AS at, TRUE AS live FROM cleaned
+        UNION ALL SELECT 'section_' || section_id, doc_id, ingested_at, deleted_at IS NULL FROM sections
+        UNION ALL SELECT 'clause_' || clause_id, doc_id, ingested_at, deleted_at IS NULL FROM clauses),
+      keys AS (SELECT k, doc_id, min(at) AS first_at, min(at) FILTER (live) AS live_at FROM parents GROUP BY ALL),
+      named AS (SELECT *, CASE WHEN starts_with(end_id, 'law_') THEN substr(end_id, 5) ELSE doc_id END AS owner, regexp_replace(end_id, '^(chapter|subsection)_', 'section_') AS k FROM refs),
+      facts AS (SELECT table_name, field_name, strftime(came, '%Y-%m') AS period, came, first_at, live_at FROM named r LEFT JOIN keys s ON s.k = r.k AND s.doc_id = r.owner),
+      span AS (SELECT min(at) AS a, max(at) AS b FROM (SELECT came AS at FROM refs UNION ALL SELECT at FROM parents)),
+      cuts AS (SELECT m - INTERVAL 1 MICROSECOND AS c, strftime(m - INTERVAL 1 MICROSECOND, '%Y-%m-%d %H:%M:%S.%f') AS as_of
+          FROM (SELECT unnest(generate_series(date_trunc('month', a) + INTERVAL 1 MONTH, date_trunc('month', b), INTERVAL 1 MONTH)) AS m FROM span)
+        UNION ALL SELECT TIMESTAMP '9999-01-01', 'end'),
+      told AS (SELECT table_name, field_name, period, as_of, CASE WHEN first_at IS NULL OR first_at > c THEN 'missing' WHEN live_at IS NULL OR live_at > c THEN 'deleted' WHEN first_at > came THEN 'late' END AS reason
+        FROM facts, cuts WHERE came <= c)
+      SELECT table_name, field_name, period, reason, as_of, count(*) AS n FROM told WHERE reason IS NOT NULL GROUP BY ALL"""

@@ -43,26 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Hadoop has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 class Workspace:
     """Written tables of one query in the shared folder. write() cuts lineage: what follows reads files that outlive
-    any executor. drop() removes a table that nothing will read again."""
+    any executor. drop() removes a table that nothing will read again, clear() all of them; the rest goes when the driver
+    ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
+    def claim(self) -> str:
+        """The folder, which will be deleted when the driver ends, not while something may read it."""
+        where, files = files_of(self.spark, self.root)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        return self.root
+
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.count += 1
+        if self.count == 1:
+            self.claim()
         path = f"{self.root}/t{self.count}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-        if self.count == 1:
-            # gone when the driver ends; nothing that is still read is deleted earlier
-            where, files = self.files(self.root)
-            files.deleteOnExit(where)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._lexmill_path = path
         return back
@@ -70,12 +82,12 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_lexmill_path", None)
         if path:
-            where, files = self.files(path)
+            where, files = files_of(self.spark, path)
             files.delete(where, True)
 
-    def files(self, path: str) -> tuple:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def clear(self) -> None:
+        where, files = files_of(self.spark, self.root)
+        files.delete(where, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

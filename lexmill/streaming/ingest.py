@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators import orphans as O
 from lexmill.plans import pipeline
-from lexmill.session import Workspace
 from lexmill.sources import documents
 
 
@@ -27,21 +26,22 @@ def files_to_chunks(spark: SparkSession, folder: str, sink: Callable[[DataFrame,
 
 class OrphanStream:
     """Keeps the orphan state over batches of one stream of rows (side: `reference` or `parent`, the columns of both). The
-    state lies in the shared folder; an executor may be lost between batches."""
+    state lies in `root`, a folder that all executors share, by batch number: opened again it goes on where it was, and a
+    batch that the stream delivers again after a failure isn't taken twice."""
 
-    def __init__(self, spark: SparkSession, rule: str = "any"):
-        self.state, self.rule, self.work = O.empty_state(spark), rule, Workspace(spark, "orphan-stream")
+    def __init__(self, spark: SparkSession, root: str, rule: str = "any"):
+        self.store = O.OrphanStore(spark, root, rule)
 
-    def apply(self, batch: DataFrame, k: int = 0) -> None:
+    def apply(self, batch: DataFrame, k: int) -> bool:
         references = batch.where("side = 'reference'").select(*O.REFERENCE, "at")
         parents = batch.where("side = 'parent'").select(*O.PARENT, "at", "deleted")
-        self.state = O.apply_batch(self.state, references, parents, self.work, self.rule)
+        return self.store.apply(references, parents, k)
 
     def orphans(self) -> DataFrame:
-        return O.orphans(self.state, self.rule)
+        return self.store.orphans()
 
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
-        return rows.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return rows.writeStream.foreachBatch(lambda df, k: self.apply(df, k) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, time: str, group: str, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

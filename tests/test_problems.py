@@ -7,7 +7,6 @@ import pytest
 from lexmill.operators import hierarchy as H
 from lexmill.operators import orphans as O
 from lexmill.plans import problems
-from lexmill.session import Workspace
 from lexmill.streaming import ingest
 
 
@@ -90,12 +89,12 @@ def test_orphans_slice_by_slice(spark):
     want = [(2, "late"), (3, "deleted"), (4, "missing"), (6, "missing")]
     for days in ([], [10], [0.5, 5, 20, 31, 36]):
         state, shots = O.replay(*frames(spark, refs, pars), [T0 + timedelta(days=x) for x in days])
-        assert told(O.orphans(state)) == want
+        assert told(state.orphans()) == want
         assert len(shots) == len(days) + 1
     # before the late rows came, those references were waiting too
     early = {(r.reason, r.n) for r in O.replay(*frames(spark, refs, pars), [T0 + timedelta(days=10)])[1][0].collect()}
     assert early == {("missing", 2), ("deleted", 2)}
-    assert {r.period for r in O.orphans(state).collect()} == {"2024-01", "2024-02"}
+    assert {r.period for r in state.orphans().collect()} == {"2024-01", "2024-02"}
 
 
 @pytest.mark.parametrize("days", [[], [0.5, 5, 20, 31, 36]])
@@ -136,33 +135,61 @@ def test_snapshots_at_every_month_end(spark, tmp_path):
     assert problems.month_ends(None, None) == [] == problems.month_ends(T0, datetime(2024, 1, 31, 23))
 
 
-def test_deletions_reopen_settled_references(spark):
-    work, state = Workspace(spark, "t"), O.empty_state(spark)
+def test_deletions_reopen_settled_references(spark, tmp_path):
+    store = O.OrphanStore(spark, str(tmp_path), "last")
     for refs, pars, want in (
         ([reference(1, "a", 1)], [parent("a", 0)], []),
         ([], [parent("a", 2, True)], [(1, "deleted")]),
         ([], [parent("a", 3)], []),
         ([], [parent("a", 4, True)], [(1, "deleted")]),
     ):
-        state = O.apply_batch(state, *frames(spark, refs, pars), work, "last")
-        assert told(O.orphans(state, "last")) == want
+        assert store.apply(*frames(spark, refs, pars))
+        assert told(store.orphans()) == want
+    with pytest.raises(ValueError):
+        O.OrphanStore(spark, str(tmp_path), "any")
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    refs = [reference(k, f"k{k % 50}", 1, f"D{k % 40}") for k in range(2000)]
+    pars = [parent(f"k{k % 50}", 0, doc=f"D{k % 40}") for k in range(0, 2000, 3)]
+    store = O.OrphanStore(spark, str(tmp_path))
+    store.apply(*frames(spark, refs, pars))
+    whole = store.table("references").count() + store.table("parents").count()
+    assert len(store.touched) > O.OWNERS
+    before = {t: dict(f) for t, f in store.manifest["files"].items()}
+    store.apply(*frames(spark, [reference(9000, "new", 2, "D7")], [parent("k7", 3, doc="D7")]))
+    # the rows of one or two of the owner's buckets, not the state's
+    read = store.table("references", store.touched).count() + store.table("parents", store.touched).count()
+    assert len(store.touched) <= 2 and 0 < read < whole / 8
+    changed = {b for t, f in store.manifest["files"].items() for b, p in f.items() if before[t].get(b) != p}
+    assert changed <= set(map(str, store.touched))
+    plain, _ = O.replay(*frames(spark, [*refs, reference(9000, "new", 2, "D7")], [*pars, parent("k7", 3, doc="D7")]), [])
+    assert told(store.orphans()) == told(plain.orphans())
 
 
 def test_hot_key(spark):
     refs = [reference(k, "hot" if k % 3 else "cold", 1) for k in range(900)]
     state, _ = O.replay(*frames(spark, refs, [parent("cold", 0)]), [])
-    assert O.orphans(state).count() == 600
+    assert state.orphans().count() == 600
 
 
-def test_orphan_stream(spark, tmp_path):
-    s = ingest.OrphanStream(spark)
+def test_orphan_stream_goes_on_after_a_restart(spark, tmp_path):
     cols = f"side string, {REF}, deleted boolean"
     first = spark.createDataFrame([("reference", *reference(1, "a", 1), None), ("reference", *reference(2, "b", 1), None)], cols)
     first.write.parquet(str(tmp_path / "in"))
-    s.start(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
-    assert told(s.orphans()) == [(1, "missing"), (2, "missing")]
-    s.apply(spark.createDataFrame([("parent", None, None, None, None, "clause", "D", "a", T0, False)], cols))
+
+    def run():
+        s = ingest.OrphanStream(spark, str(tmp_path / "state"))
+        s.start(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+        return s
+
+    assert told(run().orphans()) == [(1, "missing"), (2, "missing")]
+    parents = spark.createDataFrame([("parent", None, None, None, None, "clause", "D", "a", T0, False)], cols)
+    parents.write.mode("append").parquet(str(tmp_path / "in"))
+    s = run()
     assert told(s.orphans()) == [(2, "missing")]
+    # a batch delivered again changes nothing
+    assert not s.apply(spark.createDataFrame([("reference", *reference(3, "z", 1), None)], cols), 1) and told(s.orphans()) == [(2, "missing")]
 
 
 def test_queries_match_their_sql(spark, data):
