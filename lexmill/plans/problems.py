@@ -170,13 +170,13 @@ P5_SNAPSHOTS_SQL = """WITH refs AS (
             UNION ALL SELECT 'edges', 'target', doc_id, ord, target, ingested_at FROM edges
             UNION ALL SELECT 'clause_refs', 'resolved_clause_id', doc_id, ord, 'clause_' || resolved_clause_id, ingested_at FROM clause_refs)
         WHERE end_id IS NOT NULL AND NOT starts_with(end_id, 'unresolved_') GROUP BY ALL),
-      parents AS (SELECT 'law_' || doc_id AS k, doc_id, ingested_at AS at, TRUE AS live FROM cleaned
+      parents AS (SELECT 'law_' || doc_id AS k, doc_id, ingested_at AS seen_at, TRUE AS live FROM cleaned
         UNION ALL SELECT 'section_' || section_id, doc_id, ingested_at, deleted_at IS NULL FROM sections
         UNION ALL SELECT 'clause_' || clause_id, doc_id, ingested_at, deleted_at IS NULL FROM clauses),
-      keys AS (SELECT k, doc_id, min(at) AS first_at, min(at) FILTER (live) AS live_at FROM parents GROUP BY ALL),
+      keys AS (SELECT k, doc_id, min(seen_at) AS first_at, min(seen_at) FILTER (live) AS live_at FROM parents GROUP BY ALL),
       named AS (SELECT *, CASE WHEN starts_with(end_id, 'law_') THEN substr(end_id, 5) ELSE doc_id END AS owner, regexp_replace(end_id, '^(chapter|subsection)_', 'section_') AS k FROM refs),
       facts AS (SELECT table_name, field_name, strftime(came, '%Y-%m') AS period, came, first_at, live_at FROM named r LEFT JOIN keys s ON s.k = r.k AND s.doc_id = r.owner),
-      span AS (SELECT min(at) AS a, max(at) AS b FROM (SELECT came AS at FROM refs UNION ALL SELECT at FROM parents)),
+      span AS (SELECT min(seen_at) AS a, max(seen_at) AS b FROM (SELECT came AS seen_at FROM refs UNION ALL SELECT seen_at FROM parents)),
       cuts AS (SELECT m - INTERVAL 1 MICROSECOND AS c, strftime(m - INTERVAL 1 MICROSECOND, '%Y-%m-%d %H:%M:%S.%f') AS as_of
           FROM (SELECT unnest(generate_series(date_trunc('month', a) + INTERVAL 1 MONTH, date_trunc('month', b), INTERVAL 1 MONTH)) AS m FROM span)
         UNION ALL SELECT TIMESTAMP '9999-01-01', 'end'),
