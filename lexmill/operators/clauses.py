@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ def units(candidates: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return kept.select(*keys, (F.row_number().over(order) - 1).alias("unit_no"), back(F.col("unit")).alias("unit_text"), "start_char", (F.col("start_char") + F.length("unit")).alias("end_char"), F.when(F.col("at_line") & (number != ""), back(number)).alias("clause_number"))
 
 
-def clauses(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
+def clauses(candidates: DataFrame, key: str = "doc_id", split: Callable[[DataFrame, list[str]], DataFrame] = units) -> DataFrame:
     """key, ord, clause_id, section_id, section_title, clause_text, span_start, span_end, clause_number. Sections come in
     the order of their first candidate and take its title, even a null one; clauses are numbered within a section.
     Spans are those of the candidate's text."""
-    found = units(candidates.select(key, "candidate_id", "text"), [key, "candidate_id"])
+    found = split(candidates.select(key, "candidate_id", "text"), [key, "candidate_id"])
     first = Window.partitionBy(key, "section_id").orderBy("ord")
     about = candidates.select(key, "candidate_id", "section_id", F.col("ord").alias("candidate_ord"), F.min("ord").over(first).alias("section_ord"), F.first(F.when(F.col("section_title") != "", F.col("section_title"))).over(first).alias("title"))
     joined = found.join(about, [key, "candidate_id"])

@@ -32,6 +32,41 @@ def graph_prompt() -> str:
     return f"{GRAPH}\n\nLabels: {', '.join(sorted(vocab.NODE_LABELS))}\nRelationship types: {', '.join(sorted(vocab.RELATIONSHIP_TYPES))}"
 
 
+def user_prompt(document: Column) -> Column:
+    """The prompt for one document's graph, of its JSON."""
+    return F.concat(F.lit("The document:\n\n"), document)
+
+
+def document_json(documents: DataFrame, context: DataFrame, entities: DataFrame, references: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """doc_id, document_json: each document (doc_id and, where known, filename, document_format, title) with its clauses in
+    order, and in each its entities by start, its references in order and its context. `resolved` (doc_id, clause_id,
+    ref_start, resolved_clause_id, resolved_section_id) tells what references lead to; without, none is resolved.
+    Documents without clauses have an empty list."""
+    keys = ["doc_id", "clause_id"]
+    if resolved is None:
+        refs = references.withColumns({"resolved_clause_id": F.lit(None).cast("string"), "resolved_section_id": F.lit(None).cast("string")})
+    else:
+        refs = references.join(resolved.select(*keys, "ref_start", "resolved_clause_id", "resolved_section_id"), [*keys, "ref_start"], "left")
+    refs = refs.withColumn("resolved", F.col("resolved_clause_id").isNotNull() | F.col("resolved_section_id").isNotNull())
+    listed = lambda df, order, columns, name: df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("v")))), lambda x: x["v"]).alias(name))
+    ents = listed(entities, ["start_offset", "end_offset", "entity_id"], ["entity_id", "entity_text", "entity_type", "confidence"], "entities")
+    refs = listed(refs, ["ref_no"], ["reference_text", "reference_type", "resolved", "resolved_clause_id", "resolved_section_id"], "references")
+    near = ("previous_clause_id", "next_clause_id", "section_position", "is_first_in_section", "is_last_in_section", "neighbor_clause_ids")
+    rows = context.join(ents, keys, "left").join(refs, keys, "left")
+    full = lambda name, of: F.coalesce(name, F.array().cast(of.schema[name].dataType)).alias(name)
+    clause = F.struct("clause_id", "section_id", "section_title", strip(F.col("clause_text")).alias("text"), "role", F.col("confidence").alias("classification_confidence"), full("entities", ents), full("references", refs), F.struct(*near).alias("context"))
+    per = rows.select("doc_id", "ord", clause.alias("clause")).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("clause.clause_id").alias("id"), F.to_json("clause", {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"]).alias("clauses"))
+    known = lambda c: F.col(c) if c in documents.columns else F.lit(None).cast("string")
+    about = F.to_json(F.struct(F.col("doc_id").alias("document_id"), known("filename").alias("filename"), known("document_format").alias("format"), known("title").alias("title")), {"ignoreNullFields": "false"})
+    text = F.concat(F.lit('{"document":'), about, F.lit(',"clauses":['), F.array_join(F.coalesce("clauses", F.array().cast("array<string>")), ","), F.lit("]}"))
+    return documents.join(per, "doc_id", "left").select("doc_id", text.alias("document_json"))
+
+
+def graph_prompts(documents: DataFrame) -> DataFrame:
+    """doc_id, system, user of documents (doc_id, document_json)."""
+    return documents.select("doc_id", F.lit(graph_prompt()).alias("system"), user_prompt(F.col("document_json")).alias("user"))
+
+
 def ask(df: DataFrame, system: str, user: str, model: Model, out: str = "answer") -> DataFrame:
     """df with the model's answer to each row's two prompts."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` string"])
@@ -58,6 +93,7 @@ def read_obligations(answers: DataFrame, answer: str = "answer") -> DataFrame:
     value = lambda x, k: F.coalesce(F.try_variant_get(x, f"$.{k}", "string"), F.lit(""))
     made = F.transform(elements, lambda x: F.struct(*[(F.nullif(value(x, k), F.lit("")) if k in OBLIGATION[3:] else value(x, k)).alias(k) for k in OBLIGATION]))
     wrong = F.flatten(F.transform(elements, strings))
+    # What callers are told of an answer that can't be read.
     error = (
         F.when(text == "", "LLM returned an empty response.")
         .when(v.isNull(), "Invalid JSON from LLM")
@@ -95,20 +131,38 @@ IR = "nodes array<struct<id:string,label:string,properties:map<string,string>,so
 
 
 def read_graphs(answers: DataFrame, answer: str = "answer") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, failures) of the graphs in JSON answers, by doc_id; names are stripped. An empty or invalid answer,
-    one that isn't an object with both lists, or one with a blank id, label, end or type is a failure (doc_id, error)."""
+    """(nodes, edges, failures) of the graphs in JSON answers, by doc_id; names are stripped, further
+    fields ignored, null or missing properties empty. A failure (doc_id, error) is an empty or invalid answer, one that isn't
+    an object with both lists, and one with an element that is no object, an id, label, end or type that is no string or
+    blank, properties that are no object, or a source_clause that is no string."""
     text = unfenced(F.coalesce(F.col(answer), F.lit("")))
     parsed = answers.select("doc_id", text.alias("t")).withColumn("g", F.from_json("t", IR))
-    blank = lambda xs, names: F.exists(xs, lambda x: F.array_contains(F.array(*[F.coalesce(strip(x[n]), F.lit("")) for n in names]), ""))
+    whole = F.try_parse_json("t")
+    parsed = parsed.withColumn("v", whole)
+    elements = lambda name: F.try_variant_get("v", f"$.{name}", "array<variant>")
+    kind = lambda x, path: F.schema_of_variant(F.try_variant_get(x, path, "variant"))
+    is_object = lambda x, path: F.startswith(kind(x, path), F.lit("OBJECT"))
+    is_list = lambda name: F.coalesce(F.startswith(kind(F.col("v"), f"$.{name}"), F.lit("ARRAY")), F.lit(False))
+    named = lambda x, n: F.coalesce((kind(x, f"$.{n}") == "STRING") & (strip(F.try_variant_get(x, f"$.{n}", "string")) != ""), F.lit(False))
+    free = lambda x, n, want: F.coalesce(F.startswith(kind(x, f"$.{n}"), F.lit(want)), F.lit(True))
+
+    def wrong(name: str, names: tuple[str, ...]) -> Column:
+        """The first field that isn't as it must be, of any element."""
+        fault = lambda x: F.when(~F.coalesce(is_object(x, "$"), F.lit(False)), "an element is no object").otherwise(
+            F.coalesce(*[F.when(~named(x, n), f"{n} must be a string with letters") for n in names], F.when(~free(x, "properties", "OBJECT"), "properties must be an object"), F.when(~(free(x, "source_clause", "STRING") | (kind(x, "$.source_clause") == "VOID")), "source_clause must be a string")))
+        return F.try_element_at(F.array_compact(F.transform(elements(name), fault)), F.lit(1))
+
     error = (
         F.when(F.col("t") == "", "LLM returned an empty response.")
-        .when(F.try_parse_json("t").isNull(), "Invalid JSON")
-        .when(F.col("g.nodes").isNull() | F.col("g.relationships").isNull(), "nodes and relationships must be lists")
-        .when(blank(F.col("g.nodes"), ("id", "label")) | blank(F.col("g.relationships"), ("source", "target", "type")), "a name is missing")
+        .when(F.col("v").isNull(), "Invalid JSON")
+        .when(~F.coalesce(is_object(F.col("v"), "$"), F.lit(False)), "the graph must be an object")
+        .when(~is_list("nodes"), "nodes must be a list")
+        .when(~is_list("relationships"), "relationships must be a list")
+        .otherwise(F.coalesce(F.concat(F.lit("nodes: "), wrong("nodes", ("id", "label"))), F.concat(F.lit("relationships: "), wrong("relationships", ("source", "target", "type")))))
     )
-    told = parsed.withColumn("error", error)
+    told = parsed.withColumn("error", error).drop("v")
     good = told.where("error is null")
-    n = good.select("doc_id", F.posexplode("g.nodes").alias("ord", "x")).select("doc_id", "ord", strip(F.col("x.id")).alias("id"), strip(F.col("x.label")).alias("label"), "x.properties", "x.source_clause")
+    n = good.select("doc_id", F.posexplode("g.nodes").alias("ord", "x")).select("doc_id", "ord", strip(F.col("x.id")).alias("id"), strip(F.col("x.label")).alias("label"), F.coalesce("x.properties", F.create_map().cast("map<string,string>")).alias("properties"), "x.source_clause")
     e = good.select("doc_id", F.posexplode("g.relationships").alias("ord", "x")).select("doc_id", "ord", strip(F.col("x.source")).alias("source"), strip(F.col("x.target")).alias("target"), strip(F.col("x.type")).alias("type"), F.coalesce("x.properties", F.create_map().cast("map<string,string>")).alias("properties"))
     return n, e, told.where("error is not null").select("doc_id", "error")
 

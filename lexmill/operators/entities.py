@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +22,30 @@ def detectors() -> list[tuple[int, str, str, str, float]]:
     return out + [(3, p, kind, method, confidence) for p, kind, method, confidence in vocab.TIMES]
 
 
-def raw_entities(clauses: DataFrame, references: DataFrame, text: str = "clause_text") -> DataFrame:
-    """Every detection, overlapping ones included: KEYS and FIELDS. Within a detector, equal spans count once, for the
-    first pattern. References come from the reference operator."""
-    rules = detectors()
+Detector = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def raw_entities(clauses: DataFrame, references: DataFrame, detectors: list[Detector] | None = None) -> DataFrame:
+    """Every detection, overlapping ones included: KEYS and FIELDS. A detector takes the clauses and their references and
+    gives such rows; the order of those given is in their detector_no. By default they are the dictionaries with the
+    patterns, and the references."""
+    found = [d(clauses, references).select(*KEYS, *FIELDS) for d in detectors or [dictionary_entities, reference_entities]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def dictionary_entities(clauses: DataFrame, references: DataFrame, text: str = "clause_text", rules: list[tuple] | None = None) -> DataFrame:
+    """Detections by rules as detectors() gives them. Within a detector, equal spans count once, for the first pattern."""
+    rules = rules or detectors()
     spans = find_spans(clauses.select(*KEYS, text), KEYS, text, [r[1] for r in rules])
     lookup = F.element_at(F.array(*[F.struct(F.lit(r[0]).alias("detector_no"), F.lit(r[2]).alias("entity_type"), F.lit(r[4]).alias("confidence"), F.lit(r[3]).alias("detection_method")) for r in rules]), F.col("pattern_no") + 1)
     found = spans.withColumn("r", lookup).select(*KEYS, "r.detector_no", "pattern_no", F.col("span_start").alias("start_offset"), F.col("span_end").alias("end_offset"), F.col("span_text").alias("entity_text"), "r.entity_type", "r.confidence", "r.detection_method")
     same = Window.partitionBy(*KEYS, "detector_no", "start_offset", "end_offset").orderBy("pattern_no")
-    found = found.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k")
-    laws = references.select(*KEYS, F.lit(4).alias("detector_no"), (F.col("ref_no") + 1000).alias("pattern_no"), F.col("ref_start").alias("start_offset"), F.col("ref_end").alias("end_offset"), F.col("reference_text").alias("entity_text"), F.lit("LAW_REFERENCE").alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("reference_detector").alias("detection_method"))
-    return found.unionByName(laws)
+    return found.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k")
+
+
+def reference_entities(clauses: DataFrame, references: DataFrame) -> DataFrame:
+    """The references, as entities."""
+    return references.select(*KEYS, F.lit(4).alias("detector_no"), (F.col("ref_no") + 1000).alias("pattern_no"), F.col("ref_start").alias("start_offset"), F.col("ref_end").alias("end_offset"), F.col("reference_text").alias("entity_text"), F.lit("LAW_REFERENCE").alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("reference_detector").alias("detection_method"))
 
 
 def numbered(raw: DataFrame, clauses: DataFrame) -> DataFrame:

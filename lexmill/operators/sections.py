@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ def heading(s: Column, before: Column, after: Column) -> Column:
     first = F.element_at(words(rest), 1)
     capital = (first.rlike(r"\p{IsUppercase}") & ~first.rlike(r"\p{IsLowercase}|\p{Lt}") & (F.length(first) > 1)) | rest.rlike(r"^\p{IsUppercase}")
     roman = rf"(?Ui)^({vocab.ROMAN})\.?[\s\x1c-\x1f]+(?s:(.+))\z"
+    # The patterns of the styles.
     marks = r"(?Us)^(#{1,6})[\s\x1c-\x1f]+(.+)\z"
     colon = F.regexp_extract(s, r"(?U)^([^\n:]{1,80}):\z", 1)
     colon_body = strip(colon)
@@ -58,18 +61,18 @@ def heading(s: Column, before: Column, after: Column) -> Column:
     )
 
 
-def headings(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text") -> DataFrame:
-    """key, line_no, start_char, style, level, title of every heading line."""
+def headings(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text", detect: Callable[[Column, Column, Column], Column] = heading) -> DataFrame:
+    """key, line_no, start_char, style, level, title of every heading line, as `detect` tells them."""
     w = Window.partitionBy(key).orderBy("line_no")
     near = lines(df, key, text).select("*", strip(F.col("line")).alias("s"), F.lag("line").over(w).alias("before"), F.lead("line").over(w).alias("after"))
-    return near.withColumn("h", heading(F.col("s"), F.col("before"), F.col("after"))).where("h is not null").select(key, "line_no", "start_char", "h.style", "h.level", "h.title")
+    return near.withColumn("h", detect(F.col("s"), F.col("before"), F.col("after"))).where("h is not null").select(key, "line_no", "start_char", "h.style", "h.level", "h.title")
 
 
-def sections(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text") -> DataFrame:
+def sections(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text", detect: Callable[[Column, Column, Column], Column] = heading) -> DataFrame:
     """key, section_no, section_id, title, text, span_start, span_end, level, parent_section_id. The sections of a text
     lie end to end over the whole of it: what precedes the first heading is a section without title, as is a text
     without headings (an empty one too). A parent is the last section before of a lower level. Null texts have none."""
-    found = headings(df, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "start_char", "level", "title", F.lit(True).alias("headed")))).alias("found"))
+    found = headings(df, key, text, detect).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "start_char", "level", "title", F.lit(True).alias("headed")))).alias("found"))
     base = df.where(F.col(text).isNotNull()).select(F.col(key), F.split(F.col(text), "\n", -1).alias("lines"), F.length(text).alias("n"))
     kind = "array<struct<line_no:int,start_char:int,level:int,title:string,headed:boolean>>"
     none = F.array().cast(kind)

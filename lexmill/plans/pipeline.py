@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from lexmill.operators import blocks as B
 from lexmill.operators import classify as K
 from lexmill.operators import clauses as C
 from lexmill.operators import cleaning, entities, graph, sections
-from lexmill.session import Workspace
+from lexmill.session import Workspace, files_of
+from lexmill.sources import stores
 
 
 @dataclass
@@ -28,21 +30,35 @@ class Outputs:
     chunks: DataFrame
 
 
-def run(documents: DataFrame, text: str = "raw_text", classifier=K.role) -> Outputs:
+@dataclass
+class Parts:
+    """The steps that a caller may put others in place of, each with the contract of its default."""
+
+    heading: Callable = sections.heading
+    splitter: Callable = C.units
+    classifier: Callable = K.role
+    references: Callable = K.references
+    context: Callable = K.context
+    detectors: list[Callable] = field(default_factory=lambda: [entities.dictionary_entities, entities.reference_entities])
+    merger: Callable = entities.merged
+
+
+def run(documents: DataFrame, text: str = "raw_text", parts: Parts | None = None) -> Outputs:
     """All stages over documents (doc_id unique, text). Cleaned texts, sections, candidates and clauses, which several
     stages read, are written once to the shared folder; everything else stays lazy. Documents of null text give no rows
     beyond `cleaned`."""
+    parts = parts or Parts()
     work = Workspace(documents.sparkSession, "pipeline")
     cleaned = work.write(cleaning.clean(documents, text))
-    found = work.write(sections.sections(cleaned))
+    found = work.write(sections.sections(cleaned, detect=parts.heading))
     cut = B.blocks(found)
     grouped = work.write(B.candidates(cut))
-    made = work.write(C.clauses(grouped))
-    classified = K.classify(made, classifier)
-    references = work.write(K.references(made))
-    raw = work.write(entities.raw_entities(made, references))
-    kept = work.write(entities.merged(entities.numbered(raw, made)))
-    return Outputs(cleaned, found, cut, grouped, made, classified, K.context(classified), references, kept, entities.chunks(classified, kept, references))
+    made = work.write(C.clauses(grouped, split=parts.splitter))
+    classified = K.classify(made, parts.classifier)
+    references = work.write(parts.references(made))
+    raw = work.write(entities.raw_entities(made, references, detectors=parts.detectors))
+    kept = work.write(parts.merger(entities.numbered(raw, made)))
+    return Outputs(cleaned, found, cut, grouped, made, classified, parts.context(classified), references, kept, entities.chunks(classified, kept, references))
 
 
 def knowledge_graph(documents: DataFrame, clauses: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,14 +91,13 @@ def preview(out: Outputs) -> DataFrame:
 
 
 def write_previews(previews: DataFrame, folder: str) -> None:
-    """One file {doc_id}.json a document, written by the executors; the folder must be one they share."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    """One file {doc_id}.json a document, written by the executors into a folder of any file system they share."""
+    where, files = files_of(previews.sparkSession, folder)
+    files.mkdirs(where)
+    root = stores.qualified(previews.sparkSession, folder).rstrip("/")
 
     def put(rows) -> None:
         for r in rows:
-            with open(os.path.join(folder, f"{r.doc_id}.json"), "w", encoding="utf-8") as f:
-                f.write(r.preview + "\n")
+            stores.write_file(f"{root}/{r.doc_id}.json", (r.preview + "\n").encode())
 
     previews.select("doc_id", "preview").foreachPartition(put)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.session import files_of
+
 FORMATS = {".pdf": "pdf", ".docx": "docx", ".txt": "txt"}
 #: What a parser returns: text, page_count, title, author, creation_date.
 Parsed = tuple[str, int | None, str | None, str | None, str | None]
@@ -146,8 +148,23 @@ def load(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFram
 
 
 def scan(spark: SparkSession, paths: str | list[str], parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """LOADED rows of all files under the paths (folders, files or patterns). Spark's scan leaves files of no bytes out."""
-    return load(spark.read.format("binaryFile").load(paths).select("path", "content"), parsers)
+    """LOADED rows of all files under the paths (folders, files or patterns), those of no bytes included, which Spark's own
+    scan leaves out."""
+    rows = spark.read.format("binaryFile").load(paths).select("path", "content")
+    empty = [(p, bytearray()) for p in empty_files(spark, [paths] if isinstance(paths, str) else paths)]
+    return load(rows.unionAll(spark.createDataFrame(empty, "path string, content binary")) if empty else rows, parsers)
+
+
+def empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files without bytes that a scan of the paths would meet; hidden ones (. or _ before the name) aren't met."""
+    out: set[str] = set()
+    for path in paths:
+        where, files = files_of(spark, path)
+        for found in files.globStatus(where) or ():
+            for f in files.listStatus(found.getPath()) if found.isDirectory() else [found]:
+                if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._":
+                    out.add(f.getPath().toString())
+    return sorted(out)
 
 
 def inline(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
