@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the rows takes.
-BLOCK = 20_000
+#: Queries that one pass over the rows takes, and the tile of queries and rows whose scores are held at once.
+BLOCK, TILE = 20_000, (512, 2048)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, least: float | None = None, version: str | None = None) -> DataFrame:
     """query_id, key, score, rank (from 1) of the k rows nearest to each query by cosine, the query's own row left out;
-    ties by key. With `least`, lower scores are dropped. Exact: every row meets every query, a block of queries being
-    broadcast at a time; each batch of rows keeps its k best of each query, and those are ranked. Null vectors, and those
-    of length zero, are in no pair. All vectors must have the queries' dimension."""
-    given = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    ties by key. With `least`, lower scores are dropped; with `version`, a column, only rows of the query's value count
+    (null is like no other). Exact: every row meets every query, a block of queries being broadcast at a time; each tile
+    keeps the k best of each query, and those are ranked. Null vectors, and those of length zero, are in no pair. All
+    vectors must have the queries' dimension."""
+    extra = [version] if version else []
+    given = queries.where(F.col(vector).isNotNull()).select(key, vector, *extra)
     total = given.count()
     kind = rows.schema[key].dataType.simpleString()
     out: DataFrame | None = None
@@ -29,30 +31,42 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
             continue
         ids, matrix = own[key].to_numpy(), np.stack(own[vector].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(matrix, axis=1)
-        shared = rows.sparkSession.sparkContext.broadcast((ids[norm > 0], matrix[norm > 0] / norm[norm > 0, None]))
+        kinds = own[version].astype(object).to_numpy() if version else np.zeros(len(ids), object)
+        good = (norm > 0) & np.array([x is not None and x == x for x in kinds])
+        shared = rows.sparkSession.sparkContext.broadcast((ids[good], matrix[good] / norm[good, None], kinds[good]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
+            q_ids, q, q_kinds = shared.value
             for batch in batches:
                 if not batch.num_rows or not len(q_ids):
                     continue
-                r_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                r = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                size = np.linalg.norm(r, axis=1)
-                r_ids, r = r_ids[size > 0], r[size > 0] / size[size > 0, None]
-                score = np.where(q_ids[:, None] == r_ids[None, :], -np.inf, q @ r.T)
-                # ties beyond the k-th stay, so that ranking by key can settle them
-                edge = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1] if score.shape[1] else np.empty(len(q_ids))
-                at_q, at_r = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at_q]), pa.array(r_ids[at_r]), pa.array(score[at_q, at_r])], names=["query_id", key, "score"])
+                for begin in range(0, batch.num_rows, TILE[1]):
+                    part = batch.slice(begin, TILE[1])
+                    r_ids = part.column(0).to_numpy(zero_copy_only=False)
+                    r = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    r_kinds = np.array(part.column(2).to_pylist(), object) if version else np.zeros(len(r_ids), object)
+                    size = np.linalg.norm(r, axis=1)
+                    r_ids, r, r_kinds = r_ids[size > 0], r[size > 0] / size[size > 0, None], r_kinds[size > 0]
+                    if not len(r_ids):
+                        continue
+                    for at in range(0, len(q_ids), TILE[0]):
+                        tile = slice(at, at + TILE[0])
+                        score = q[tile] @ r.T
+                        score[(q_ids[tile, None] == r_ids[None, :]) | (q_kinds[tile, None] != r_kinds[None, :])] = -np.inf
+                        if least is not None:
+                            score[score < least] = -np.inf
+                        # ties beyond the k-th stay, so that ranking by key can settle them
+                        n = min(k, score.shape[1])
+                        edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+                        at_q, at_r = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
+                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[tile][at_q]), pa.array(r_ids[at_r]), pa.array(score[at_q, at_r])], names=["query_id", key, "score"])
 
-        found = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_id {kind}, `{key}` {kind}, score double")
+        found = rows.where(F.col(vector).isNotNull()).select(key, vector, *extra).mapInArrow(run, f"query_id {kind}, `{key}` {kind}, score double")
         out = found if out is None else out.unionAll(found)
     if out is None:
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, `{key}` {kind}, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
-    kept = out if least is None else out.where(F.col("score") >= least)
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 5))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 5))
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:

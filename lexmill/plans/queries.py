@@ -195,11 +195,6 @@ def knn_top10(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
 
 
-def duplicate_uploads(spark: SparkSession, d: str) -> DataFrame:
-    """Texts stored under several documents, by hash."""
-    return texts(spark, d).where("cleaned_text is not null").groupBy(F.sha2("cleaned_text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
 def clause_versions_asof(spark: SparkSession, d: str) -> DataFrame:
     """The state of each clause as of the first of July 2024: the last row that had arrived by then, if not deleted."""
     rows = table(spark, d, "clauses", "doc_id", "clause_id", "clause_text", "ingested_at", "deleted_at").where("ingested_at <= timestamp_ntz'2024-07-01 00:00:00'")
@@ -210,6 +205,6 @@ def queries() -> dict:
     every = (
         clean_text, doc_lines, headings, heading_style_counts, section_tree_depth, blocks, blocks_by_type, candidates, pipeline_clauses, clause_units, clause_roles, clause_neighbors, section_positions,
         references, entities_raw, entities_merged, entity_counts, chunks, preview_json, graph_nodes, graph_edges, resolved_refs, unresolved_refs, graph_violations, edge_violations, cypher_ops, exported_labels,
-        graph_stats, traversal_4hop, knn_top10, duplicate_uploads, clause_versions_asof,
+        graph_stats, traversal_4hop, knn_top10, clause_versions_asof,
     )
     return {f.__name__: f for f in every} | {"sections": section_rows}

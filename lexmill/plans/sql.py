@@ -216,7 +216,6 @@ def oracle_sql() -> dict[str, str]:
       SELECT doc_id, start, hops, count(*) AS n FROM (SELECT doc_id, start, node, min(hops) AS hops FROM r GROUP BY ALL) GROUP BY ALL""",
         "knn_top10": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
-        "duplicate_uploads": f"WITH {TEXTS} SELECT sha256(cleaned_text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM texts WHERE cleaned_text IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
         "clause_versions_asof": """SELECT doc_id, clause_id, length(clause_text) AS n_chars FROM (SELECT * FROM clauses WHERE ingested_at <= TIMESTAMP '2024-07-01' QUALIFY row_number() OVER (PARTITION BY doc_id, clause_id ORDER BY ingested_at DESC) = 1)
       WHERE deleted_at IS NULL OR deleted_at > TIMESTAMP '2024-07-01'""",
     }

@@ -205,7 +205,7 @@ def test_queries_match_their_sql(spark, data):
         c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
     sql, queries = entry.oracle_sql(), entry.queries()
     assert set(sql) <= set(queries)
-    for name in ("clean_text", "headings", "sections", "clause_roles", "references", "entities_merged", "chunks", "graph_edges", "unresolved_refs", "exported_labels", "p4_found", "p5_found"):
+    for name in ("clean_text", "headings", "sections", "clause_roles", "references", "entities_merged", "chunks", "graph_edges", "unresolved_refs", "exported_labels", "p4_found", "p4_paths", "p5_found", "p5_snapshots", "findings", "import_diff", "merged_clauses", "search_titles"):
         df = queries[name](spark, data)
         r = c.execute(sql[name])
         names = [x[0] for x in r.description]
