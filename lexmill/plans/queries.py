@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from lexmill.functions.text import latest
 from lexmill.operators import blocks as B
 from lexmill.operators import classify as K
 from lexmill.operators import clauses as C
-from lexmill.operators import cleaning, entities, graph, sections, vectors
+from lexmill.operators import cleaning, enrich, entities, graph, sections, vectors
 from lexmill.plans import pipeline
 from lexmill.session import Workspace, table
+from lexmill.sinks import graph_store
+from lexmill.sources import documents
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +124,32 @@ def preview_json(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.preview(pipeline.run(texts(spark, d).withColumnRenamed("cleaned_text", "raw_text")))
 
 
+def preview_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How much each list of a preview holds, read back from its JSON."""
+    lists = ("sections", "clauses", "classifications", "references", "entities", "chunks")
+    read = F.from_json("preview", ", ".join(f"{n} array<map<string,string>>" for n in lists))
+    return preview_json(spark, d).withColumn("p", read).select("doc_id", *[F.size(f"p.{n}").alias(f"n_{n}") for n in lists], F.get("p.clauses", F.lit(0))["clause_text"].alias("first_clause"))
+
+
+def document_json(spark: SparkSession, d: str) -> DataFrame:
+    """How much the JSON of each document, the prompt for its graph, holds, read back from it."""
+    rows, refs, raw = entity_parts(spark, d)
+    made = enrich.document_json(texts(spark, d).select("doc_id", "title"), K.context(K.classify(rows)), entities.merged(raw), refs)
+    kind = "document struct<document_id:string,title:string>, clauses array<struct<clause_id:string,role:string,entities:array<struct<entity_id:string>>,references:array<struct<reference_text:string>>,context:struct<next_clause_id:string>>>"
+    read = made.withColumn("j", F.from_json("document_json", kind))
+    total = lambda name: F.aggregate("j.clauses", F.lit(0), lambda acc, c: acc + F.size(c[name]))
+    return read.select("doc_id", F.col("j.document.title").alias("title"), F.size("j.clauses").alias("n_clauses"), total("entities").alias("n_entities"), total("references").alias("n_references"), F.get("j.clauses", F.lit(0))["context"]["next_clause_id"].alias("second_clause"))
+
+
+def loaded_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The stored texts taken as files of their format (PDF as upper-case TXT, as its parser's library may be missing): what
+    loads, and what is told of the rest."""
+    rows = latest(table(spark, d, "cleaned", "doc_id", "title", "document_format", "cleaned_text", "ingested_at"), ["doc_id"], "ingested_at")
+    suffix = F.when(F.col("document_format") == "pdf", "TXT").otherwise(F.col("document_format"))
+    files = rows.select(F.concat(F.lit("in/"), "doc_id", F.lit("."), suffix).alias("path"), F.encode("cleaned_text", "utf-8").alias("content"), "title")
+    return documents.load(files).select("doc_id", "filename", "document_format", "title", "error_kind", "error_msg", F.length("raw_text").alias("n_chars"))
+
+
 def hierarchy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     work = Workspace(spark, "graph")
     rows = work.write(clause_rows(spark, d))
@@ -161,13 +191,34 @@ def linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_violations(spark: SparkSession, d: str) -> DataFrame:
-    return graph.violations(*linked(spark, d))
+    return graph.violations(*linked(spark, d), texts(spark, d))
 
 
 def edge_violations(spark: SparkSession, d: str) -> DataFrame:
     """Rules broken by the stored edges against the nodes of the hierarchy."""
     edges = latest(table(spark, d, "edges", "doc_id", "ord", "source", "target", "rel_type", "ingested_at"), ["doc_id", "ord"], "ingested_at").withColumnRenamed("rel_type", "type")
-    return graph.violations(hierarchy(spark, d)[1], edges).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return graph.violations(hierarchy(spark, d)[1], edges, texts(spark, d)).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def built_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each document's graph, and the first rule it breaks."""
+    return graph_store.build_from_graphs(*linked(spark, d), texts(spark, d)).select("doc_id", "nodes_in_ir", "relationships_in_ir", "error")
+
+
+def stand_in(system: str, user: str) -> str:
+    """Answers like a model would: one obligation where a clause says shall, nonsense where it says must."""
+    text = user.split("Clause:\n\n", 1)[1]
+    if "shall" in text:
+        return json.dumps({"obligations": [{"subject": text[:3], "action": "shall", "object": str(len(text)), "condition": "", "exception": None}]})
+    return "oops" if "must" in text else '{"obligations": []}'
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    """The obligations that a stand-in for a model finds in the stored clauses, and the clauses whose answer can't be read."""
+    _, nodes, edges = hierarchy(spark, d)
+    more, _, failed = enrich.enrich(nodes, edges, stand_in)
+    made = more.where("label = 'Obligation'").select("doc_id", "id", F.lit(None).cast("string").alias("error"), *[F.element_at("properties", k).alias(k) for k in ("subject", "object", "condition")])
+    return made.unionByName(failed.select("doc_id", "id", "error", *[F.lit(None).cast("string").alias(k) for k in ("subject", "object", "condition")]))
 
 
 def cypher_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +255,7 @@ def clause_versions_asof(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     every = (
         clean_text, doc_lines, headings, heading_style_counts, section_tree_depth, blocks, blocks_by_type, candidates, pipeline_clauses, clause_units, clause_roles, clause_neighbors, section_positions,
-        references, entities_raw, entities_merged, entity_counts, chunks, preview_json, graph_nodes, graph_edges, resolved_refs, unresolved_refs, graph_violations, edge_violations, cypher_ops, exported_labels,
+        references, entities_raw, entities_merged, entity_counts, chunks, preview_json, preview_counts, document_json, loaded_documents, graph_nodes, graph_edges, resolved_refs, unresolved_refs, graph_violations, edge_violations, cypher_ops, built_graphs, enriched, exported_labels,
         graph_stats, traversal_4hop, knn_top10, clause_versions_asof,
     )
     return {f.__name__: f for f in every} | {"sections": section_rows}

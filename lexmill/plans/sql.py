@@ -104,11 +104,13 @@ def references_cte() -> str:
 def entities_cte() -> str:
     rules = [(k, r"(?i)\b" + t + r"\b", kind, method, 0.95) for k, (terms, kind, method) in enumerate(vocab.DICTIONARIES) for t in terms]
     rules += [(3, re2(p), kind, method, conf) for p, kind, method, conf in vocab.TIMES]
+    # a boundary of this dialect knows ASCII only
+    word = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
     info = ", ".join(f"({k}, {r[0]}, {q(r[2])}, {q(r[3])}, {r[4]})" for k, r in enumerate(rules))
     return f"""{references_cte()}, {spans_cte([r[1] for r in rules])},
       info(pattern_no, detector_no, entity_type, detection_method, confidence) AS (VALUES {info}),
-      own AS (SELECT doc_id, clause_id, detector_no, pattern_no, s AS start_offset, s + length(t) AS end_offset, t AS entity_text, entity_type, CAST(confidence AS DOUBLE) AS confidence, detection_method FROM spans JOIN info USING (pattern_no)
-        QUALIFY row_number() OVER (PARTITION BY doc_id, clause_id, detector_no, s, length(t) ORDER BY pattern_no) = 1),
+      own AS (SELECT doc_id, clause_id, detector_no, pattern_no, s AS start_offset, s + length(t) AS end_offset, t AS entity_text, entity_type, CAST(confidence AS DOUBLE) AS confidence, detection_method FROM spans JOIN info USING (pattern_no) JOIN c USING (doc_id, clause_id)
+        WHERE NOT regexp_matches(substr(clause_text, s::BIGINT, 1), '{word}') AND NOT regexp_matches(substr(clause_text, (s + length(t) + 1)::BIGINT, 1), '{word}') QUALIFY row_number() OVER (PARTITION BY doc_id, clause_id, detector_no, s, length(t) ORDER BY pattern_no) = 1),
       alle AS (SELECT * FROM own UNION ALL SELECT doc_id, clause_id, 4, 1000 + ref_no, ref_start, ref_end, reference_text, 'LAW_REFERENCE', 1.0, 'reference_detector' FROM refs),
       raw AS (SELECT a.*, printf('E%03d', row_number() OVER (PARTITION BY a.doc_id ORDER BY ord, a.clause_id, detector_no, pattern_no, start_offset)) AS entity_id FROM alle a JOIN c ON c.doc_id = a.doc_id AND c.clause_id = a.clause_id),
       merged AS (SELECT * FROM (SELECT *, max(end_offset) OVER (PARTITION BY doc_id, clause_id ORDER BY start_offset, end_offset DESC, detector_no, pattern_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cover FROM raw) WHERE cover IS NULL OR end_offset > cover)"""
@@ -179,12 +181,27 @@ def oracle_sql() -> dict[str, str]:
     named = "coalesce(source, 'null') || ' ' || coalesce(type, 'null') || ' ' || coalesce(target, 'null')"
     broken = lambda nodes, edges: f"""
         SELECT doc_id, 'unknown_label' AS rule, id AS subject FROM {nodes} WHERE label NOT IN ({allowed(vocab.NODE_LABELS)})
+        UNION ALL SELECT doc_id, 'empty_graph', '' FROM texts t WHERE NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.doc_id = t.doc_id)
         UNION ALL SELECT doc_id, 'duplicate_id', id FROM {nodes} GROUP BY ALL HAVING count(*) > 1
         UNION ALL SELECT doc_id, 'unknown_type', {named} FROM {edges} WHERE type IS NULL OR type NOT IN ({allowed(vocab.RELATIONSHIP_TYPES)})
         UNION ALL SELECT doc_id, 'dangling_source', {named} FROM {edges} e WHERE NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.doc_id = e.doc_id AND n.id = e.source)
         UNION ALL SELECT doc_id, 'dangling_target', {named} FROM {edges} e WHERE NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.doc_id = e.doc_id AND n.id = e.target)
         UNION ALL SELECT doc_id, 'self_loop', {named} FROM {edges} WHERE source = target"""
     stored = "stored AS (SELECT doc_id, ord, source, target, rel_type AS type FROM edges QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY ingested_at DESC) = 1)"
+    j = lambda x: f"coalesce(to_json({x})::VARCHAR, 'null')"
+    own = f"""CASE label WHEN 'LawVersion' THEN '"law_code":' || {j("law_code")} || ',"title":' || {j("title")} WHEN 'SubSection' THEN '"identifier":' || {j("identifier")}
+        WHEN 'Clause' THEN '"clause_id":' || {j("clause_id")} || ',"text":' || {j("source_clause")} || ',"confidence":"1.0"' WHEN 'UnresolvedReference' THEN '"reference_text":' || {j("number")} || ',"reference_type":' || {j("reference_type")} || ',"clause_id":' || {j("clause_id")}
+        ELSE '"number":' || {j("number")} || ',"title":' || {j("title")} END"""
+    statements = f"""lkd AS (SELECT *, coalesce(target, 'unresolved_' || clause_id || '_' || kind || '_' || lower(regexp_replace(value, '[^a-zA-Z0-9]', '_', 'g'))) AS t, CASE WHEN target IS NULL THEN 'UNRESOLVED_REFERENCE' ELSE 'REFERENCES' END AS type FROM res
+        WHERE target IS NULL OR target <> source QUALIFY row_number() OVER (PARTITION BY doc_id, source, t, type ORDER BY clause_ord, ref_start, seq) = 1),
+      nn AS (SELECT n.doc_id, n.ord, n.id, n.label, n.number, n.title, n.identifier, n.clause_id, n.law_code, n.reference_type, c.clause_text AS source_clause FROM nodes0 n LEFT JOIN c ON n.label = 'Clause' AND c.doc_id = n.doc_id AND c.clause_id = n.clause_id
+        UNION ALL SELECT doc_id, (1 << 30) + clause_ord, t, 'UnresolvedReference', ref_text, '', '', clause_id, '', kind, clause_id FROM lkd WHERE target IS NULL),
+      nk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, id) - 1 AS no FROM nn),
+      ee AS (SELECT doc_id, ord, source, target, type FROM edges0 UNION ALL SELECT doc_id, (1 << 30) + clause_ord, source, t, type FROM lkd),
+      ek AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, source, target, type) - 1 AS no FROM ee)
+      SELECT doc_id, 0 AS part, no, 'MERGE (n:' || label || ' {{id: $n' || no || '_id}}) SET n += $n' || no || '_props' AS query, '{{"n' || no || '_id":' || {j("id")} || ',"n' || no || '_props":{{' || {own} || ',"id":' || {j("id")} || CASE WHEN source_clause IS NULL THEN '' ELSE ',"source_clause":' || {j("source_clause")} END || '}}}}' AS parameters, NULL AS error FROM nk
+      UNION ALL SELECT doc_id, 1, no, 'MATCH (source {{id: $source_id}}) MATCH (target {{id: $target_id}}) MERGE (source)-[r:' || type || ']->(target) SET r += $r' || no || '_props', '{{"source_id":' || {j("source")} || ',"target_id":' || {j("target")} || ',"r' || no || '_props":{{}}}}', NULL FROM ek"""
+    first = "[" + ", ".join(q(r) for r in ("empty_graph", "unknown_label", "empty_properties", "duplicate_id", "unknown_type", "dangling_source", "dangling_target", "self_loop")) + "]"
     window = "WINDOW w AS (PARTITION BY doc_id ORDER BY ord, clause_id), s AS (PARTITION BY doc_id, section_id ORDER BY ord, clause_id)"
     return {
         "clean_text": clean_text(),
@@ -209,6 +226,21 @@ def oracle_sql() -> dict[str, str]:
         "unresolved_refs": f"WITH {resolver_cte()} SELECT doc_id, clause_id, kind, value, ref_text FROM res WHERE target IS NULL",
         "graph_violations": f"WITH {resolver_cte()} {broken('nodes1', 'edges1')}",
         "edge_violations": f"WITH {hierarchy_cte()}, {stored} SELECT rule, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({broken('nodes0', 'stored')}) GROUP BY ALL",
+        "cypher_ops": f"WITH {resolver_cte()}, {statements}",
+        "built_graphs": f"""WITH {resolver_cte()}, bad AS ({broken('nodes1', 'edges1')}), one AS (SELECT doc_id, min((list_position({first}, rule), rule || CASE WHEN subject = '' THEN '' ELSE ' ' || subject END))[2] AS error FROM bad GROUP BY ALL),
+      n AS (SELECT doc_id, count(*) AS k FROM nodes1 GROUP BY ALL), m AS (SELECT doc_id, count(*) AS k FROM edges1 GROUP BY ALL)
+      SELECT t.doc_id, coalesce(n.k, 0) AS nodes_in_ir, coalesce(m.k, 0) AS relationships_in_ir, error FROM texts t LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN one USING (doc_id)""",
+        "enriched": f"""WITH {CLAUSES}, t AS (SELECT doc_id, clause_id, coalesce(clause_text, '') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY ord, clause_id) AS k FROM c)
+      SELECT doc_id, 'obl_clause_' || clause_id || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1) AS id, NULL AS error, substr(x, 1, 3) AS subject, length(x)::VARCHAR AS object, '' AS condition FROM t WHERE contains(x, 'shall')
+      UNION ALL SELECT doc_id, 'clause_' || clause_id, 'Invalid JSON from LLM', NULL, NULL, NULL FROM t WHERE contains(x, 'must') AND NOT contains(x, 'shall')""",
+        "loaded_documents": """WITH t AS (SELECT *, doc_id || '.' || CASE document_format WHEN 'pdf' THEN 'TXT' ELSE document_format END AS filename FROM cleaned QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC) = 1),
+      k AS (SELECT *, CASE WHEN document_format = 'html' THEN 'unsupported_file_type' WHEN cleaned_text IS NULL THEN 'unreadable_document' WHEN document_format = 'docx' THEN 'corrupted_document' END AS error_kind FROM t)
+      SELECT 'DOC_' || substr(sha256('in/' || filename), 1, 8) AS doc_id, filename, CASE document_format WHEN 'html' THEN 'unknown' WHEN 'docx' THEN 'docx' ELSE 'txt' END AS document_format, nullif(title, '') AS title, error_kind,
+        CASE error_kind WHEN 'unsupported_file_type' THEN 'Unsupported file type: .html' WHEN 'unreadable_document' THEN 'Document not found: in/' || filename WHEN 'corrupted_document' THEN CASE WHEN cleaned_text = '' THEN 'DOCX file is empty' ELSE 'DOCX file is corrupted or unreadable' END END AS error_msg,
+        CASE WHEN error_kind IS NULL THEN length(cleaned_text) END AS n_chars FROM k""",
+        "document_json": f"""WITH {entities_cte()}, {TEXTS}, n AS (SELECT doc_id, count(*) AS k, arg_min(nxt, o) AS second FROM (SELECT doc_id, row_number() OVER w AS o, coalesce(lead(clause_id) OVER w, chr(1)) AS nxt FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord, clause_id)) GROUP BY ALL),
+      m AS (SELECT doc_id, count(*) AS k FROM merged GROUP BY ALL), r AS (SELECT doc_id, count(*) AS k FROM refs GROUP BY ALL)
+      SELECT t.doc_id, t.title, coalesce(n.k, 0) AS n_clauses, coalesce(m.k, 0) AS n_entities, coalesce(r.k, 0) AS n_references, nullif(second, chr(1)) AS second_clause FROM texts t LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN r USING (doc_id)""",
         "exported_labels": f"WITH {resolver_cte()} SELECT 'node' AS part, {rename('label', vocab.EXPORT_LABELS)} AS name, count(*) AS n FROM nodes1 GROUP BY ALL UNION ALL SELECT 'edge', {rename('type', vocab.EXPORT_TYPES)}, count(*) FROM edges1 GROUP BY ALL",
         "graph_stats": f"WITH {resolver_cte()} SELECT n.doc_id, nodes_in_ir, coalesce(relationships_in_ir, 0) AS relationships_in_ir FROM (SELECT doc_id, count(*) AS nodes_in_ir FROM nodes1 GROUP BY ALL) n LEFT JOIN (SELECT doc_id, count(*) AS relationships_in_ir FROM edges1 GROUP BY ALL) e ON e.doc_id = n.doc_id",
         "traversal_4hop": f"""WITH RECURSIVE {stored}, e AS (SELECT DISTINCT doc_id, source, target FROM stored WHERE source IS NOT NULL AND target IS NOT NULL),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from lexmill.functions import vocab
-from lexmill.plans.sql import CLAUSES, GAP, SP, q, sections_cte, strip, words
+from lexmill.plans.sql import CLAUSES, GAP, SP, TEXTS, clean_text, entities_cte, q, sections_cte, strip, words
 
 MARK = r"(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]|\(\p{Nd}+\)|[A-Za-z][.)]|\([A-Za-z]\)|[-*•])"
 TITLE = rf"^[A-Z][A-Za-z0-9''&()/\-]+(?:[{SP}]+[A-Z][A-Za-z0-9''&()/\-]+){{0,8}}[{SP}]*\z"
@@ -115,9 +117,29 @@ def oracle_sql() -> dict[str, str]:
         "blocks_by_type": f"WITH RECURSIVE {blocks_cte()} SELECT block_type, depth, count(*) AS n FROM blocks GROUP BY ALL",
         "candidates": f"WITH RECURSIVE {candidates_cte()} SELECT doc_id, ord, candidate_id, section_id, section_title, text, heading, title, {', '.join(ids.format(n) for n in names)} FROM cands",
         "clause_units": f"WITH {CLAUSES}, src AS (SELECT doc_id, clause_id, clause_text AS text FROM c), {units_cte('src', 'doc_id, clause_id')} SELECT * FROM units",
-        "pipeline_clauses": f"""WITH RECURSIVE {candidates_cte()}, {units_cte('cands', 'doc_id, candidate_id')},
-      m AS (SELECT u.*, c.section_id, c.ord AS candidate_ord, min(c.ord) OVER (PARTITION BY u.doc_id, c.section_id) AS section_ord FROM units u JOIN cands c USING (doc_id, candidate_id)),
-      firsts AS (SELECT doc_id, section_id, arg_min(coalesce(section_title, chr(1)), ord) AS t, min(ord) AS section_ord FROM cands GROUP BY ALL)
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY f.section_ord, candidate_ord, unit_no) - 1 AS ord, section_id || '_C' || printf('%03d', row_number() OVER (PARTITION BY doc_id, section_id ORDER BY candidate_ord, unit_no)) AS clause_id, section_id,
-        nullif(t, chr(1)) AS section_title, unit_text AS clause_text, start_char AS span_start, end_char AS span_end, clause_number FROM m JOIN firsts f USING (doc_id, section_id)""",
+        "preview_counts": preview_counts(),
+        "pipeline_clauses": f"WITH RECURSIVE {clauses_cte()} SELECT * FROM made",
     }
+
+
+def clauses_cte() -> str:
+    """made: the clauses of the candidates."""
+    return f"""{candidates_cte()}, {units_cte('cands', 'doc_id, candidate_id')},
+      m AS (SELECT u.*, c.section_id, c.ord AS candidate_ord, min(c.ord) OVER (PARTITION BY u.doc_id, c.section_id) AS section_ord FROM units u JOIN cands c USING (doc_id, candidate_id)),
+      firsts AS (SELECT doc_id, section_id, arg_min(coalesce(section_title, chr(1)), ord) AS t, min(ord) AS section_ord FROM cands GROUP BY ALL),
+      made AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY f.section_ord, candidate_ord, unit_no) - 1 AS ord, section_id || '_C' || printf('%03d', row_number() OVER (PARTITION BY doc_id, section_id ORDER BY candidate_ord, unit_no)) AS clause_id, section_id,
+        nullif(t, chr(1)) AS section_title, unit_text AS clause_text, start_char AS span_start, end_char AS span_end, clause_number FROM m JOIN firsts f USING (doc_id, section_id))"""
+
+
+def preview_counts() -> str:
+    """Of texts that are cleaned first: the whole pipeline."""
+    steps, _, _ = clean_text().partition(" SELECT doc_id, t5")
+    cleaned = steps.removeprefix(f"WITH {TEXTS}, ").replace("FROM texts", "FROM stored")
+    stored = f"{TEXTS.replace('texts AS', 'stored AS', 1)}, {cleaned}, texts AS (SELECT doc_id, NULL AS title, t5 AS cleaned_text FROM s5)"
+    own = "c AS (SELECT doc_id, clause_id, ord, section_id, section_title, clause_text FROM made)"
+    # both the lines and the spans have a CTE of this name
+    found = re.sub(r"\bcut\b", "cut_spans", entities_cte().replace(CLAUSES, own, 1))
+    counts = {"sections": "secs", "clauses": "c", "classifications": "c", "references": "refs", "entities": "merged", "chunks": f"(SELECT * FROM c WHERE {strip('clause_text')} <> '')"}
+    joined = " ".join(f"LEFT JOIN (SELECT doc_id, count(*) AS n_{n} FROM {t} GROUP BY ALL) USING (doc_id)" for n, t in counts.items())
+    return f"""WITH RECURSIVE {clauses_cte().replace(TEXTS, stored, 1)}, {found}, f AS (SELECT doc_id, arg_min(clause_text, ord) AS first_clause FROM c GROUP BY ALL)
+      SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in counts)}, first_clause FROM (SELECT doc_id FROM texts WHERE cleaned_text IS NOT NULL) {joined} LEFT JOIN f USING (doc_id)"""
