@@ -15,11 +15,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.session import Workspace
+from lexmill.sources.stores import read_range
 
 LIMIT, OVERLAP, CHARS = 512, 64, 4
 RANGE = 32_768
@@ -197,15 +197,6 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
     parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("length") - 1) / size).cast("long"))).alias("range_no"))
     parts = parts.repartition("path", "range_no")
 
-    def open_at(path: str, begin: int, n: int) -> bytes:
-        scheme, colon, rest = path.partition(":")
-        if not colon or scheme == "file":
-            store, where = fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
-        else:
-            store, where = fs.FileSystem.from_uri(f"s3:{rest}" if scheme == "s3a" else path)
-        with store.open_input_file(where) as f:
-            return f.read_at(min(n, max(0, f.size() - begin)), begin)
-
     def skip(data: bytes, at: int) -> int:
         while at < len(data) and data[at] & 0xC0 == 0x80:
             at += 1
@@ -213,7 +204,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [sum(b & 0xC0 != 0x80 for b in open_at(p, k * size, size)) for p, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            n = [sum(b & 0xC0 != 0x80 for b in read_range(p, k * size, size)) for p, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64())], names=["path", "length", "range_no", "chars"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +212,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
             out: dict[str, list] = {k: [] for k in ("base", "begin", "stop", "first", "last", "chunk")}
             for path, length, k, chars_before in zip(*(batch.column(n).to_pylist() for n in ("path", "length", "range_no", "chars_before"))):
                 at = max(0, k * size - halo)
-                data = open_at(path, at, k * size - at + size + 4 * AHEAD + 4)
+                data = read_range(path, at, k * size - at + size + 4 * AHEAD + 4)
                 a, b, c = skip(data, 0), skip(data, k * size - at), skip(data, k * size - at + size)
                 head, body, tail = data[a:b].decode("utf-8"), data[b:c].decode("utf-8"), data[c : c + 4 * AHEAD].decode("utf-8", "ignore")[:AHEAD]
                 out["base"].append(chars_before - len(head))
