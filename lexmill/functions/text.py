@@ -31,6 +31,20 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(packed.alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in df.columns if c not in keys])
 
 
+def running(numbers: Column, size: int = 512) -> Column:
+    """The sum of the elements before each, of an array of integers. It is built in stretches of `size`, as an array grown
+    by one element at a time takes time in proportion to its square."""
+
+    def folded(xs: Column, start: Column) -> Column:
+        begin = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, begin, lambda acc, x: F.struct((acc["at"] + x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int")), lambda k: F.slice(numbers, k * size + 1, size))
+    bases = folded(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: (acc + x).cast("int"))), F.lit(0))
+    long = F.flatten(F.zip_with(parts, bases, folded))
+    return F.when(F.size(numbers) == 0, F.array().cast("array<int>")).when(F.size(numbers) <= size, folded(numbers, F.lit(0))).otherwise(long)
+
+
 def find_spans(df: DataFrame, keys: list[str], text: str, patterns: list[str]) -> DataFrame:
     """Every match of every pattern in the text: keys, pattern_no, span_start, span_end (code points), span_text.
 
@@ -42,9 +56,9 @@ def find_spans(df: DataFrame, keys: list[str], text: str, patterns: list[str]) -
 
     def placed(x: Column) -> Column:
         # a part but for the first is a match, its end mark and what follows it
-        start = F.struct(F.length(x["parts"][0]).alias("at"), F.array().cast("array<struct<a:int,b:string>>").alias("out"))
-        step = lambda acc, part: F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.substring_index(part, CLOSE, 1).alias("b")))).alias("out"))
-        return F.aggregate(F.slice(x["parts"], 2, 1 << 30), start, step, lambda acc: F.transform(acc["out"], lambda m: F.struct(x["pattern_no"].alias("pattern_no"), m["a"].alias("a"), m["b"].alias("b"))))
+        starts = running(F.transform(x["parts"], lambda part, k: F.length(part) - (k > 0).cast("int")))
+        found = F.zip_with(x["parts"], starts, lambda part, at: F.struct(x["pattern_no"].alias("pattern_no"), at.alias("a"), F.substring_index(part, CLOSE, 1).alias("b")))
+        return F.slice(found, 2, 1 << 30)
 
     hits = F.flatten(F.transform(F.filter(tried, lambda x: F.size(x["parts"]) > 1), placed))
     found = df.where(F.col(text).isNotNull()).select(*keys, F.explode(hits).alias("x"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import vocab
-from lexmill.functions.text import strip
+from lexmill.functions.ordered import bucket_of, numbered
+from lexmill.functions.text import running, strip
+from lexmill.session import Workspace
 
 #: Stands for a full stop that ends no sentence; and the cut between two parts.
 SHIELD, CUT = "", "\x01"
@@ -32,20 +34,20 @@ def shield(text: Column) -> Column:
 def units(candidates: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, unit_no (from 0), unit_text, start_char, end_char, clause_number of each unit: every line with a list marker
     is one (marker as clause_number); other lines up to a blank or list line are cut into sentences. Blank parts are
-    dropped, offsets count code points of the text. Null and empty texts have no unit; keys must be unique."""
+    dropped, offsets count code points of the text. Null and empty texts have no unit."""
     clean = shield(F.translate(F.col(text), CUT, "\x03"))
-    cut = F.split(F.regexp_replace(clean, PARTS, f"{CUT}$0{CUT}"), CUT, -1)
-    parts = candidates.where(F.col(text).isNotNull()).select(*keys, F.posexplode(cut).alias("pos", "part"))
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.filter(F.split(F.regexp_replace(clean, PARTS, f"{CUT}$0{CUT}"), CUT, -1), lambda p: p != "")
+    rows = candidates.where(F.col(text).isNotNull()).select(*keys, parts.alias("parts"))
     # only a part that begins a line can be a list item
-    at_line = F.coalesce(F.endswith(F.last(F.when(F.col("part") != "", F.col("part")), ignorenulls=True).over(before), F.lit("\n")), F.lit(True))
-    placed = parts.withColumn("at", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0))).withColumn("at_line", at_line | F.startswith("part", F.lit("\n")))
-    trimmed = F.regexp_replace("part", r"\A\n+|\n+\z", "")
-    kept = placed.where(strip(F.col("part")) != "").select(*keys, "pos", trimmed.alias("unit"), (F.col("at") + F.length("part") - F.length(F.regexp_replace("part", r"\A\n+", ""))).cast("int").alias("start_char"), "at_line")
+    before = F.concat(F.array(F.lit("\n")), F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))))
+    lined = F.zip_with("parts", before, lambda p, b: F.struct(p.alias("p"), (F.endswith(b, F.lit("\n")) | F.startswith(p, F.lit("\n"))).alias("at_line")))
+    placed = F.zip_with(lined, running(F.transform("parts", F.length)), lambda x, at: F.struct(x["p"].alias("p"), x["at_line"].alias("at_line"), at.alias("at")))
+    kept = F.when(F.size("parts") > 0, F.filter(placed, lambda x: strip(x["p"]) != ""))
+    flat = rows.select(*keys, F.posexplode(kept).alias("unit_no", "x"))
+    flat = flat.select(*keys, "unit_no", "x.at_line", F.regexp_replace("x.p", r"\A\n+|\n+\z", "").alias("unit"), (F.col("x.at") + F.length("x.p") - F.length(F.regexp_replace("x.p", r"\A\n+", ""))).cast("int").alias("start_char"))
     number = F.regexp_extract("unit", rf"(?U)\A{GAP}*({MARKER}){GAP}[^\n]+\z", 1)
-    order = Window.partitionBy(*keys).orderBy("pos")
     back = lambda c: F.replace(c, F.lit(SHIELD), F.lit("."))
-    return kept.select(*keys, (F.row_number().over(order) - 1).alias("unit_no"), back(F.col("unit")).alias("unit_text"), "start_char", (F.col("start_char") + F.length("unit")).alias("end_char"), F.when(F.col("at_line") & (number != ""), back(number)).alias("clause_number"))
+    return flat.select(*keys, "unit_no", back(F.col("unit")).alias("unit_text"), "start_char", (F.col("start_char") + F.length("unit")).alias("end_char"), F.when(F.col("at_line") & (number != ""), back(number)).alias("clause_number"))
 
 
 def clauses(candidates: DataFrame, key: str = "doc_id", split: Callable[[DataFrame, list[str]], DataFrame] = units) -> DataFrame:
@@ -53,15 +55,16 @@ def clauses(candidates: DataFrame, key: str = "doc_id", split: Callable[[DataFra
     the order of their first candidate and take its title, even a null one; clauses are numbered within a section.
     Spans are those of the candidate's text."""
     found = split(candidates.select(key, "candidate_id", "text"), [key, "candidate_id"])
-    first = Window.partitionBy(key, "section_id").orderBy("ord")
-    about = candidates.select(key, "candidate_id", "section_id", F.col("ord").alias("candidate_ord"), F.min("ord").over(first).alias("section_ord"), F.first(F.when(F.col("section_title") != "", F.col("section_title"))).over(first).alias("title"))
-    joined = found.join(about, [key, "candidate_id"])
-    whole = Window.partitionBy(key).orderBy("section_ord", "candidate_ord", "unit_no")
-    own = Window.partitionBy(key, "section_id").orderBy("candidate_ord", "unit_no")
-    return joined.select(
+    per = candidates.groupBy(key, "section_id").agg(F.min("ord").alias("section_ord"), F.min_by(F.struct(F.nullif("section_title", F.lit("")).alias("t")), "ord").alias("first"))
+    about = candidates.select(key, "candidate_id", "section_id", F.col("ord").alias("candidate_ord")).join(per, [key, "section_id"]).select(key, "candidate_id", "section_id", "candidate_ord", "section_ord", F.col("first.t").alias("title"))
+    # units are written before they are numbered, as numbering reads them twice
+    joined = Workspace(candidates.sparkSession, "units").write(found.join(about, [key, "candidate_id"]))
+    placed = numbered(joined, [key], ["section_ord", "candidate_ord", "unit_no"], bucket_of("section_ord", 256), "ord")
+    placed = numbered(placed, [key, "section_id"], ["candidate_ord", "unit_no"], bucket_of("candidate_ord", 256), "_k")
+    return placed.select(
         key,
-        (F.row_number().over(whole) - 1).alias("ord"),
-        F.concat("section_id", F.lit("_C"), F.format_string("%03d", F.row_number().over(own))).alias("clause_id"),
+        F.col("ord").cast("int").alias("ord"),
+        F.concat("section_id", F.lit("_C"), F.format_string("%03d", F.col("_k") + 1)).alias("clause_id"),
         "section_id",
         F.col("title").alias("section_title"),
         F.col("unit_text").alias("clause_text"),

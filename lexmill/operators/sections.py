@@ -88,10 +88,12 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text", det
         parent = F.when(x["headed"], F.try_element_at(left, F.lit(-1))["no"])
         return F.struct(F.when(x["headed"], F.concat(left, F.array(own))).otherwise(acc["open"]).alias("open"), F.concat(acc["parents"], F.array(parent)).alias("parents"))
 
-    joined = joined.withColumn("parents", F.aggregate("starts", nothing, step, lambda acc: acc["parents"]))
+    parents = F.aggregate("starts", nothing, step, lambda acc: acc["parents"])
+    after = F.concat(F.slice("starts", 2, 1 << 30), F.array(F.lit(None).cast(kind[6:-1])))
+    joined = joined.withColumn("every", F.zip_with(F.arrays_zip(F.col("starts").alias("x"), after.alias("after")), parents, lambda z, p: F.struct(z["x"].alias("x"), z["after"].alias("after"), p.alias("parent"))))
 
-    def section(x: Column, k: Column) -> Column:
-        after = F.get("starts", k + 1)
+    def section(every: Column, k: Column) -> Column:
+        x, after = every["x"], every["after"]
         lines = F.slice("lines", x["line_no"] + 1, F.coalesce(after["line_no"], F.size("lines")) - x["line_no"])
         return F.struct(
             (k + 1).alias("section_no"),
@@ -100,11 +102,11 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text", det
             x["start_char"].alias("span_start"),
             F.coalesce(after["start_char"], F.col("n")).alias("span_end"),
             x["level"].alias("level"),
-            F.get("parents", k).alias("parent"),
+            every["parent"].alias("parent"),
         )
 
     named = lambda no: F.format_string("S%03d", no)
-    every = joined.select(key, F.explode(F.transform("starts", section)).alias("x"))
+    every = joined.select(key, F.explode(F.transform("every", section)).alias("x"))
     return every.select(key, "x.section_no", named(F.col("x.section_no")).alias("section_id"), "x.title", "x.text", "x.span_start", "x.span_end", "x.level", F.when(F.col("x.parent").isNotNull(), named(F.col("x.parent"))).alias("parent_section_id"))
 
 

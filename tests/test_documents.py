@@ -342,3 +342,18 @@ def test_entities(spark):
     made = entities.chunks(K.classify(c), entities.merged(raw), refs).orderBy("chunk_id").collect()
     assert made[0].token_estimate == 13 and made[0].context["entities"] == "Data Fiduciary,consent,within 30 days"
     assert made[1].context["references"] == "Section 4" and len(made) == 3
+
+
+def test_running_sums_and_long_texts(spark):
+    from lexmill.functions.text import find_spans, running
+
+    given = [[], [5], list(range(40)), [random.randint(0, 9) for _ in range(1300)]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, xs array<int>")
+    got = {r.k: r.s for r in df.select("k", running(F.col("xs"), 8).alias("s")).collect()}
+    assert got == {k: [sum(x[:j]) for j in range(len(x))] for k, x in enumerate(given)}
+    long = "Section 7 says it. " * 1500 + "- item\n" + "😀 No end"
+    one = spark.createDataFrame([(1, long)], "id int, text string")
+    spans = sorted((r.span_start, r.span_text) for r in find_spans(one, ["id"], "text", [r"Section \d"]).collect())
+    assert spans == [(m.start(), m.group()) for m in re.finditer(r"Section \d", long)]
+    units = [(r.unit_text, r.start_char, r.end_char, r.clause_number) for r in C.units(one, ["id"]).orderBy("unit_no").collect()]
+    assert units == plain_units(long)
