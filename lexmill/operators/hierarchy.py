@@ -14,7 +14,7 @@ from lexmill.session import Workspace
 
 RATE = 3
 #: Steps of a walk in one job, and walks' length after which loops without a splitter are looked for.
-STEPS, PATIENCE = 6, 12
+STEPS, PATIENCE = 4, 8
 
 KEY = ["g", "node"]
 
@@ -39,14 +39,13 @@ def doubled(now: DataFrame) -> DataFrame:
 def endless(pointers: DataFrame, work: Workspace) -> DataFrame:
     """Of a graph (g, node, ptr; ptr null where the way ends): g, node, on_loop of the nodes whose way never ends.
     Doubling stops once the jump is longer than any way left could be; the jump then lands on loops only."""
-    now = work.write(pointers.where("ptr is not null"))
-    left, jump = now.count(), 1
-    goal = left + 1
+    now, left = work.write_counted(pointers.where("ptr is not null"), F.lit(True))
+    jump, goal = 1, left + 1
     while left and jump < goal:
-        last, now = now, work.write(doubled(doubled(now)))
+        last = now
+        now, left = work.write_counted(doubled(doubled(now)), F.lit(True))
         work.drop(last)
         jump *= 4
-        left = now.count()
         goal = min(goal, jump + left)
     loops = now.select("g", F.col("ptr").alias("node")).distinct().withColumn("on_loop", F.lit(True))
     return now.select(*KEY).join(loops, KEY, "left").select(*KEY, F.coalesce("on_loop", F.lit(False)).alias("on_loop"))
@@ -57,11 +56,11 @@ def walks(nodes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     now = nodes.select("g", "node", F.when(F.col("kind") == "inner", F.col("parent")).otherwise(F.col("node")).alias("cur"), F.when(F.col("kind") == "inner", F.array("parent")).otherwise(F.array().cast("array<string>")).alias("up"), ((F.col("kind") != "inner") | stops()).alias("done"))
     caught = None
     finished: list[DataFrame] = []
-    now, walked = work.write(now), 1
+    (now, left), walked = work.write_counted(now, ~F.col("done")), 1
     while True:
         finished.append(now.where("done"))
         active = now.where("not done")
-        if not active.limit(1).count():
+        if not left:
             break
         if walked >= PATIENCE and caught is None:
             inside = active.select("g", "node").join(nodes.select("g", "node", "parent"), KEY)
@@ -73,7 +72,7 @@ def walks(nodes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
         for _ in range(STEPS):
             active = stepped(active, nodes)
         walked += STEPS
-        now = work.write(active)
+        now, left = work.write_counted(active, ~F.col("done"))
     whole = finished[0]
     for part in finished[1:]:
         whole = whole.unionByName(part)
@@ -113,17 +112,15 @@ def hierarchy(df: DataFrame, scope: list[str], node: str, parent: str, order: st
     looped = work.write(dead.unionByName(caught))
     # exact ancestors of the splitters on good ways, by doubling with the paths
     good = splitters.join(looped, KEY, "left_anti").select("g", "node", "ptr", "up")
-    solved = work.write(good.where("ptr is null").select("g", "node", "up"))
-    rest = work.write(good.where("ptr is not null"))
-    while rest.limit(1).count():
+    both, left = work.write_counted(good, F.col("ptr").isNotNull())
+    solved = both.where("ptr is null").select("g", "node", "up")
+    while left:
+        rest = both.where("ptr is not null")
         ahead = rest.select("g", F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("up").alias("more"))
         ended = solved.select("g", F.col("node").alias("ptr"), F.col("up").alias("tail"))
-        both = rest.join(ended, ["g", "ptr"], "left").join(ahead, ["g", "ptr"], "left")
-        both = work.write(both.select("g", "node", F.when(F.col("tail").isNull(), F.col("far")).alias("ptr"), F.concat("up", F.coalesce("tail", "more")).alias("up")))
-        solved = work.write(solved.unionByName(both.where("ptr is null").select("g", "node", "up")))
-        last, rest = rest, work.write(both.where("ptr is not null"))
-        work.drop(last)
-        work.drop(both)
+        met = rest.join(ended, ["g", "ptr"], "left").join(ahead, ["g", "ptr"], "left")
+        both, left = work.write_counted(met.select("g", "node", F.when(F.col("tail").isNull(), F.col("far")).alias("ptr"), F.concat("up", F.coalesce("tail", "more")).alias("up")), F.col("ptr").isNotNull())
+        solved = solved.unionByName(both.where("ptr is null").select("g", "node", "up"))
 
     # every node: its walk, then its splitter's ancestors
     tails = solved.select("g", F.col("node").alias("cur"), F.col("up").alias("tail"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,12 @@ class Workspace:
         back._lexmill_path = path
         return back
 
+    def write_counted(self, df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
+        """write(), and for how many of the rows `counted` holds, told by the same job."""
+        seen = Observation()
+        back = self.write(df.observe(seen, F.count_if(counted).alias("n")))
+        return back, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_lexmill_path", None)
         if path:
