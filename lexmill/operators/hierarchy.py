@@ -112,15 +112,14 @@ def hierarchy(df: DataFrame, scope: list[str], node: str, parent: str, order: st
     looped = work.write(dead.unionByName(caught))
     # exact ancestors of the splitters on good ways, by doubling with the paths
     good = splitters.join(looped, KEY, "left_anti").select("g", "node", "ptr", "up")
-    both, left = work.write_counted(good, F.col("ptr").isNotNull())
-    solved = both.where("ptr is null").select("g", "node", "up")
+    rest, ended, left = work.write_parted(good, F.col("ptr").isNotNull())
+    solved = ended.select("g", "node", "up")
     while left:
-        rest = both.where("ptr is not null")
         ahead = rest.select("g", F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("up").alias("more"))
         ended = solved.select("g", F.col("node").alias("ptr"), F.col("up").alias("tail"))
         met = rest.join(ended, ["g", "ptr"], "left").join(ahead, ["g", "ptr"], "left")
-        both, left = work.write_counted(met.select("g", "node", F.when(F.col("tail").isNull(), F.col("far")).alias("ptr"), F.concat("up", F.coalesce("tail", "more")).alias("up")), F.col("ptr").isNotNull())
-        solved = solved.unionByName(both.where("ptr is null").select("g", "node", "up"))
+        rest, ended, left = work.write_parted(met.select("g", "node", F.when(F.col("tail").isNull(), F.col("far")).alias("ptr"), F.concat("up", F.coalesce("tail", "more")).alias("up")), F.col("ptr").isNotNull())
+        solved = solved.unionByName(ended.select("g", "node", "up"))
 
     # every node: its walk, then its splitter's ancestors
     tails = solved.select("g", F.col("node").alias("cur"), F.col("up").alias("tail"))

@@ -85,6 +85,18 @@ class Workspace:
         back = self.write(df.observe(seen, F.count_if(counted).alias("n")))
         return back, seen.get["n"]
 
+    def write_parted(self, df: DataFrame, flag: Column) -> tuple[DataFrame, DataFrame, int]:
+        """The rows for which flag holds and the others, each in files of its own, and the number of the former."""
+        seen = Observation()
+        rows = df.withColumn("parted", F.coalesce(flag, F.lit(False)))
+        path = self.write(rows.observe(seen, F.count_if("parted").alias("n")), "parted")._lexmill_path
+
+        def part(value: str) -> DataFrame:
+            where, files = files_of(self.spark, f"{path}/parted={value}")
+            return self.spark.read.schema(df.schema).parquet(f"{path}/parted={value}") if files.exists(where) else self.spark.createDataFrame([], df.schema)
+
+        return part("true"), part("false"), seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_lexmill_path", None)
         if path:
