@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.textarrays import WORD_BASE, U, code_points, mix, window_hashes
-from lexmill.session import Workspace, broadcast_if_small
+from lexmill.session import Workspace, shuffles_removed
 
 WIDTH, THRESHOLD, FRAGMENTS = 5, "0.8", 4
 #: Records of one n-gram that one block of the prefix join holds; n-grams with more are split into blocks.
@@ -31,6 +32,9 @@ COPIES = 512
 SKETCH_BITS, PAGE = 20, 4096
 #: Code points, postings and meetings that one step of the array code holds.
 POINTS, ROWS, MEETINGS = 2 << 20, 1 << 17, 1 << 20
+#: Turns in which the n-grams are joined, by their hash, so that a turn's postings alone lie on disk; postings that a task
+#: packs at once; n-grams that are split into blocks, at most.
+TURNS, HELD, HOT = 3, 1 << 20, 1 << 20
 
 
 def words_of(text: str) -> Column:
@@ -95,7 +99,9 @@ def sketch(classes: DataFrame, width: int) -> np.ndarray:
 
     kind = "page int, counts binary"
     out = np.zeros((1 << SKETCH_BITS) // PAGE * PAGE, np.int64).reshape(-1, PAGE)
-    for r in classes.select("words").mapInArrow(count, kind).repartition("page").mapInArrow(merge, kind).collect():
+    with shuffles_removed(classes.sparkSession):
+        rows = classes.select("words").mapInArrow(count, kind).repartition("page").mapInArrow(merge, kind).collect()
+    for r in rows:
         out[r.page] = np.frombuffer(r.counts, np.int64)
     return out.ravel()
 
@@ -116,101 +122,195 @@ def ordered(texts: list[str], width: int, levels: np.ndarray, pivots: np.ndarray
     The fragment is -1 for n-grams that occur nowhere else; they come first."""
     for begin, row, gram in gram_arrays(texts, width):
         level = levels[(gram >> U(64 - SKETCH_BITS)).astype(np.int64)]
-        order = np.lexsort((gram, level, row))
+        # by (row, level, n-gram) in one number, unless it is equal for two n-grams
+        bits = max(1, int(row[-1]).bit_length()) if len(row) else 1
+        key = row.astype(U) << U(64 - bits) | level.astype(U) << U(56 - bits) | gram >> U(8 + bits)
+        order = np.argsort(key)
+        key, sorted_gram = key[order], gram[order]
+        if ((key[1:] == key[:-1]) & (sorted_gram[1:] != sorted_gram[:-1])).any():
+            order = np.lexsort((gram, level, row))
         row, gram, level = row[order], gram[order], level[order]
         once = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
         row, gram, level = row[once], gram[once], level[once].astype(np.int64)
-        first = np.searchsorted(row, row)
-        yield row + begin, gram, np.arange(len(row)) - first, np.where(level > 0, np.searchsorted(pivots, level), -1)
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        yield row + begin, gram, np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])), np.where(level > 0, np.searchsorted(pivots, level), -1)
 
 
-#: bounds: for each fragment how many n-grams the segment has, then for each the parity of those that fall on each of 64
-#: bits, 8 bytes each.
-POSTING = "gram bigint, id bigint, n int, at int, bounds binary"
+def doublings(n: np.ndarray, fragments: int) -> np.ndarray:
+    """How often the 16 bits that a segment's parities have at least are doubled: two bits for each n-gram of the record."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (8 * fragments)))).astype(np.int64)
 
 
-def postings(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndarray, t: Fraction) -> DataFrame:
-    """POSTING of the prefix of each class."""
+def planes(values: np.ndarray, kind: type) -> bytes:
+    """Numbers by the significance of their bytes, so that equal ones lie together."""
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+#: Postings of one part and pass, and the bounds of their records once each: `records` are id (as differences), n and the sizes
+#: of the segments, then for each posting the key of its n-gram and cell (as differences), record, place and side, then the
+#: parities of all segments, all compressed; `size` is the bytes without compression.
+POSTINGS = "part int, postings int, records int, size int, body binary"
+POSTING_TYPES = (np.uint32, np.uint32, np.uint32, np.uint8)
+
+
+def packed(part: int, key: np.ndarray, record: np.ndarray, at: np.ndarray, side: np.ndarray, held: dict[str, np.ndarray], fragments: int) -> tuple:
+    """A row of POSTINGS, of postings in order of key; held has id, n, sizes, start and bits of all records at hand."""
+    own, record = np.unique(record, return_inverse=True)
+    length = fragments << doublings(held["n"][own], fragments)
+    begin = np.cumsum(length) - length
+    bits = held["bits"][np.arange(int(length.sum())) + np.repeat(held["start"][own] - begin, length)]
+    body = planes(np.diff(held["id"][own], prepend=0), np.int64) + planes(held["n"][own], np.uint32) + planes(held["sizes"][own].ravel(), np.uint32)
+    body += b"".join(planes(v, t) for v, t in zip((np.diff(key, prepend=key[:1] * 0), record, at, side), POSTING_TYPES)) + bits.tobytes()
+    return part, len(key), len(own), len(body), pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked(rows: pa.RecordBatch, fragments: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """([key, record, at, side], [id, n, sizes, bits]) of each row of POSTINGS."""
+    for p, r, size, body in zip(*(rows.column(k).to_pylist() for k in ("postings", "records", "size", "body"))):
+        raw, at = np.frombuffer(pa.decompress(body, size, "zstd"), np.uint8), 0
+        out = []
+        for count, kind in ((r, np.int64), (r, np.uint32), (r * fragments, np.uint32), *((p, t) for t in POSTING_TYPES)):
+            width = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(raw[at : at + count * width].reshape(width, count).T).view(kind).ravel())
+            at += count * width
+        ids, n, sizes, key, record, place, side = out
+        yield [np.cumsum(key, dtype=np.uint32), record.astype(np.int64), place.astype(np.int64), side], [np.cumsum(ids), n.astype(np.int64), sizes.astype(np.int64).reshape(-1, fragments), raw[at:].copy().view(np.uint16)]
+
+
+def postings(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndarray, hot: tuple[np.ndarray, np.ndarray], t: Fraction, turn: int, turns: int, parts: int) -> DataFrame:
+    """POSTINGS of the prefix of each class, as far as its n-grams have that turn."""
     fragments = len(pivots) + 1
-    names = [x.split()[0] for x in POSTING.split(", ")]
-    shared = classes.sparkSession.sparkContext.broadcast((levels, pivots))
+    names = [x.split()[0] for x in POSTINGS.split(", ")]
+    shared = classes.sparkSession.sparkContext.broadcast((levels, pivots, hot))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, pivots = shared.value
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], ...]]:
+        """(postings, records) of some texts."""
+        levels, pivots, hot = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, gram, at, fragment in ordered(batch.column(1).to_pylist(), width, levels, pivots):
                 if not len(row):
                     continue
                 low, rows = row[0], int(row[-1] - row[0]) + 1
-                n = np.bincount(row - low, minlength=rows)
-                segment = (row - low) * fragments + fragment
-                used = fragment >= 0
-                bounds = np.zeros((rows, 2 * fragments), U)
-                bounds[:, :fragments] = np.bincount(segment[used], minlength=rows * fragments).reshape(rows, fragments)
-                own = segment[used]
-                if len(own):
-                    edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    bounds[own[edge] // fragments, fragments + own[edge] % fragments] = np.bitwise_xor.reduceat(U(1) << (gram[used] & U(63)), edge)
+                row = row - low
+                n = np.bincount(row, minlength=rows)
                 prefix = n + 1 + (-n * t.numerator // t.denominator)
-                pick = np.flatnonzero(used & (at < prefix[row - low]))
-                k = row[pick] - low
-                size = 16 * fragments
-                blobs = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(np.arange(0, size * len(pick) + 1, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bounds[k]))])
-                yield pa.RecordBatch.from_arrays([pa.array(gram[pick].view(np.int64)), pa.array(ids[row[pick]]), pa.array(n[k].astype(np.int32)), pa.array(at[pick].astype(np.int32)), blobs], names=names)
-
-    return classes.select("id", "words").mapInArrow(run, POSTING)
-
+                used = fragment >= 0
+                spread = mix(gram)
+                pick = np.flatnonzero(used & (at < prefix[row]) & (spread % U(turns) == U(turn)))
+                sizes = np.bincount((row * fragments + fragment)[used], minlength=rows * fragments).reshape(rows, fragments)
+                double = doublings(n, fragments)
+                start = np.cumsum(fragments << double) - (fragments << double)
+                word = start[row] + (fragment << double[row]) + ((gram >> U(4)).astype(np.int64) & ((1 << double[row]) - 1))
+                odd = np.bincount((word * 16 + (gram & U(15)).astype(np.int64))[used], minlength=16 * int((fragments << double).sum())) & 1
+                record, place, side, cell = row[pick], at[pick], np.full(len(pick), 2, np.uint8), np.zeros(len(pick), np.int64)
+                spread, own = spread[pick], ids[low + record]
+                if len(hot[0]) and len(pick):
+                    found = np.minimum(np.searchsorted(hot[0], gram[pick]), len(hot[0]) - 1)
+                    blocks = np.where(hot[0][found] == gram[pick], hot[1][found], 1)
+                    copy = np.repeat(np.arange(len(pick)), blocks)
+                    other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    block = (mix(own) % blocks.astype(U)).astype(np.int64)[copy]
+                    record, place, spread = record[copy], place[copy], spread[copy]
+                    side = np.where(block == other, 2, np.where(block < other, 0, 1)).astype(np.uint8)
+                    cell = np.minimum(block, other) << 31 | np.maximum(block, other)
+                with np.errstate(over="ignore"):
+                    spread = mix(spread + mix(cell))
+                yield {"key": spread.astype(np.uint32), "part": ((spread >> U(32)) % U(parts)).astype(np.int32), "record": record, "at": place, "side": side}, {"id": ids[low : low + rows], "n": n, "sizes": sizes, "start": start, "bits": np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint16)}
+
+    def out(held: list[tuple[dict[str, np.ndarray], ...]]) -> pa.RecordBatch:
+        first, begin = np.cumsum([0] + [len(r["n"]) for _, r in held]), np.cumsum([0] + [len(r["bits"]) for _, r in held])
+        c = {k: np.concatenate([p[k] + first[j] if k == "record" else p[k] for j, (p, _) in enumerate(held)]) for k in held[0][0]}
+        records = {k: np.concatenate([r[k] + begin[j] if k == "start" else r[k] for j, (_, r) in enumerate(held)]) for k in held[0][1]}
+        order = np.lexsort((c["key"], c["part"]))
+        c = {k: v[order] for k, v in c.items()}
+        edge = np.r_[np.flatnonzero(np.r_[True, c["part"][1:] != c["part"][:-1]]), len(order)] if len(order) else np.zeros(1, int)
+        rows = [packed(int(c["part"][i]), *(c[k][i:j] for k in ("key", "record", "at", "side")), records, fragments) for i, j in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 4 else pa.int32()) for k in range(5)], names=names)
 
-def hot_grams(classes: DataFrame, width: int, counts: np.ndarray) -> DataFrame | None:
-    """gram, blocks of the n-grams that more than BLOCK classes have; None where the sketch rules out that there are any.
-    Only n-grams whose counter is that high are counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for chunk in chunks(batches):
+            held.append(chunk)
+            size += len(chunk[0]["key"])
+            if size >= HELD:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    return classes.select("id", "words").mapInArrow(run, POSTINGS)
+
+
+def hot_grams(classes: DataFrame, width: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that more than BLOCK classes have, in order, and the number of blocks of each; blocks are larger where there
+    would be more than HOT such n-grams. Only n-grams whose counter is that high are counted."""
     risky = counts > BLOCK
     if not risky.any():
-        return None
+        return np.empty(0, U), np.empty(0, np.int64)
     shared = classes.sparkSession.sparkContext.broadcast(risky)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, row, gram in gram_arrays(batch.column(0).to_pylist(), width):
                 pick = shared.value[(gram >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                once = np.unique(np.stack([row[pick].astype(U), gram[pick]]), axis=1)[1]
-                found, n = np.unique(once, return_counts=True)
+                row, gram = row[pick], gram[pick]
+                order = np.lexsort((row, gram))
+                row, gram = row[order], gram[order]
+                once = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
+                found, n = np.unique(gram[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    counted = classes.select("words").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
-    return Workspace(classes.sparkSession, "hot").write(counted.select("gram", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-
-
-def celled(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Adds the cell in which a posting meets others, and its side: an n-gram of more than BLOCK postings is split into
-    blocks by a hash of the id, and each pair of blocks has a cell (a block alone has side 2)."""
-    if hot is None:
-        return rows.withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(2).cast("byte"))
-    rows = rows.join(broadcast_if_small(hot, hot.count(), 32), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return rows.withColumn("cell", cell).withColumn("side", side.cast("byte")).drop("blocks", "own", "other")
-
-
-def meetings(c: dict[str, np.ndarray], fragments: int, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, n of a, n of b) of pairs that may be similar, of postings in order of (gram, cell). Of two records the longer
-    one's prefix meets a shorter prefix of the other; lengths, places and the fragments' bounds rule out most."""
+    work = Workspace(classes.sparkSession, "hot", tidy=True)
+    hot = work.write(classes.select("words").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK))
+    block = BLOCK
+    while hot.where(F.col("n") > block).count() > HOT:
+        block *= 2
+    told = hot.where(F.col("n") > block).toArrow()
+    work.clear()
+    gram, n = told.column("gram").to_numpy().view(U), told.column("n").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], -(-n[order] // block)
+
+
+def parities(n: np.ndarray, bits: np.ndarray, fragments: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each number of doublings (place of each record, parities): those of records with at least so many, folded."""
+    double = doublings(n, fragments)
+    length = fragments << double
+    start = np.cumsum(length) - length
+    out, above, upper = [], np.zeros(0, np.int64), None
+    for k in range(int(double.max()), -1, -1):
+        own = np.flatnonzero(double == k)
+        now = bits[start[own][:, None] + np.arange(fragments << k)].reshape(len(own), fragments, 1 << k)
+        if upper is not None:
+            now = np.concatenate([upper[:, :, : 1 << k] ^ upper[:, :, 1 << k :], now])
+        above, upper = np.r_[above, own], now
+        place = np.full(len(n), -1, np.int64)
+        place[above] = np.arange(len(above))
+        wide = np.ascontiguousarray(now).view({1: np.uint16, 2: np.uint32}.get(1 << k, U))
+        out.append((place, [np.ascontiguousarray(wide[:, f]) for f in range(fragments)]))
+    return out[::-1]
+
+
+def meetings(c: dict[str, np.ndarray], records: dict, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, n of a, n of b) of pairs that may be similar, of postings in order of (key, n of the record). Of two records the
+    longer one's prefix meets a shorter prefix of the other; lengths, places and the fragments' bounds rule out most."""
     num, den = t.numerator, t.denominator
-    change = (c["gram"][1:] != c["gram"][:-1]) | (c["cell"][1:] != c["cell"][:-1])
-    group = np.r_[0, np.cumsum(change)].astype(np.int64)
-    order = np.lexsort((c["id"], c["n"], group))
-    group, n, at, ids, side = group[order], *(c[k][order].astype(np.int64) for k in ("n", "at", "id", "side"))
+    record, at, side = c["record"], c["at"], c["side"]
+    group = np.r_[0, np.cumsum(c["key"][1:] != c["key"][:-1])].astype(np.int64)
+    n = records["n"][record]
     indexed = at <= n - -(-2 * n * num // (num + den))
     before = np.r_[0, np.cumsum(indexed)]
     entries = np.flatnonzero(indexed)
-    low = before[np.searchsorted(group << 32 | n, group << 32 | -(-n * num // den))]
-    count = before[:-1] - low
+    left = n - at
+    place = group << 32 | n
+    low = before[np.searchsorted(place, group << 32 | -(-n * num // den))]
+    # what is left of the longer one rules out shorter ones that are too long
+    most = np.clip(left * (num + den) // num - n, 0, n)
+    count = np.minimum(before[:-1], before[np.searchsorted(place, group << 32 | most, "right")]) - low
     probes = np.flatnonzero(count > 0)
     upto = np.cumsum(count[probes])
-    bounds = c["bounds"][order]
-    size, parity = bounds[:, :fragments].astype(np.int64).T, bounds[:, fragments:].T
+    cells = bool((side != 2).any())
     begin = 0
     while begin < len(probes):
         stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + MEETINGS, "right")))
@@ -220,62 +320,63 @@ def meetings(c: dict[str, np.ndarray], fragments: int, t: Fraction) -> Iterator[
         b = entries[np.arange(len(a)) - np.repeat(shift - low[own], count[own])]
         begin = stop
         need = -(-(n[a] + n[b]) * num // (num + den))
-        good = (np.minimum(n[a] - at[a], n[b] - at[b]) >= need) & ((side[a] == 2) | (side[a] != side[b])) & (ids[a] != ids[b])
-        a, b, need = a[good], b[good], need[good]
+        good = left[b] >= need
+        if cells:
+            good &= (side[a] == 2) | (side[a] != side[b])
+        a, b, need = record[a[good]], record[b[good]], need[good]
         # in a fragment two segments share no more than the smaller has, nor than the parities leave; the sum bounds the pair
-        most = np.zeros(len(a), np.int64)
-        for z, s in zip(size, parity):
-            za, zb = z[a], z[b]
-            most += np.minimum(np.minimum(za, zb), (za + zb - np.bitwise_count(s[a] ^ s[b])) // 2)
-        good = most >= need
-        a, b = a[good], b[good]
-        if len(a):
-            swap = ids[a] > ids[b]
-            x, y = np.where(swap, b, a), np.where(swap, a, b)
-            once = np.unique(np.stack([ids[x], ids[y]]), axis=1, return_index=True)[1]
-            yield ids[x[once]], ids[y[once]], n[x[once]].astype(np.int32), n[y[once]].astype(np.int32)
-
-
-def joined(rows: DataFrame, fragments: int, t: Fraction) -> DataFrame:
-    """a, b, na, nb of the pairs that meet. Rows are sorted by (gram, cell) in each partition and taken a few at a time."""
-    names = rows.columns
-    spark = rows.sparkSession
-    # the work grows with the pairs that meet, not with the rows, by whose size tasks would be merged
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        double = np.minimum(records["double"][a], records["double"][b])
+        for k in np.flatnonzero(np.bincount(double)) if len(double) else ():
+            some = double == k
+            x, y, least = a[some], b[some], need[some]
+            place, bits = records["parities"][k]
+            rest = np.zeros(len(x), np.int64)
+            smaller = [np.minimum(z[x], z[y]) for z in records["sizes"]]
+            for s in smaller:
+                rest += s
+            for f, z in enumerate(records["sizes"]):
+                own = np.bitwise_count(bits[f][place[x]] ^ bits[f][place[y]]).sum(1, dtype=np.int64)
+                rest += np.minimum(0, (z[x] + z[y] - own) // 2 - smaller[f])
+                keep = rest >= least
+                x, y, least, rest = x[keep], y[keep], least[keep], rest[keep]
+                smaller = [s[keep] for s in smaller]
+            ids, size = records["id"], records["n"]
+            keep = ids[x] != ids[y]
+            x, y = x[keep], y[keep]
+            if len(x):
+                swap = ids[x] > ids[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                once = np.unique(np.stack([ids[x], ids[y]]), axis=1, return_index=True)[1]
+                yield ids[x[once]], ids[y[once]], size[x[once]].astype(np.int32), size[y[once]].astype(np.int32)
+
+
+def joined(rows: DataFrame, fragments: int, t: Fraction, parts: int) -> DataFrame:
+    """a, b, na, nb of the pairs that meet in POSTINGS, a part in each task, some cells at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        size = 0
-
-        def out(parts: list[dict[str, np.ndarray]], last: bool) -> Iterator[pa.RecordBatch]:
-            c = {k: np.concatenate([p[k] for p in parts]) for k in names}
-            # the last cell may go on in the next batch
-            end = len(c["gram"])
-            if not last:
-                same = (c["gram"] == c["gram"][-1]) & (c["cell"] == c["cell"][-1])
-                end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if end:
-                for a, b, na, nb in meetings({k: v[:end] for k, v in c.items()}, fragments, t):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb)], names=["a", "b", "na", "nb"])
-            held[:] = [{k: v[end:] for k, v in c.items()}] if end < len(c["gram"]) else []
-
+        all_postings, all_records, first = [], [], 0
         for batch in batches:
-            part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names if k != "bounds"}
-            blobs = batch.column("bounds")
-            first = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset] if batch.num_rows else 0
-            part["bounds"] = np.frombuffer(blobs.buffers()[2], np.uint8)[first : first + 16 * fragments * batch.num_rows].copy().view(U).reshape(-1, 2 * fragments)
-            held.append(part)
-            size += batch.num_rows
-            if size >= ROWS:
-                yield from out(held, False)
-                size = sum(len(h["gram"]) for h in held)
-                if size >= ROWS:
-                    size = ROWS // 2
-        if held and sum(len(h["gram"]) for h in held):
-            yield from out(held, True)
-
-    placed = rows.repartition(tasks, "gram", "cell").sortWithinPartitions("gram", "cell")
-    return placed.mapInArrow(run, "a bigint, b bigint, na int, nb int")
+            for found, records in unpacked(batch, fragments):
+                found[1] += first
+                first += len(records[0])
+                all_postings.append(found)
+                all_records.append(records)
+        if not all_postings:
+            return
+        ids, n, sizes, bits = (np.concatenate([r[k] for r in all_records]) for k in range(4))
+        records = {"id": ids, "n": n, "sizes": [np.ascontiguousarray(z) for z in sizes.T], "double": doublings(n, fragments), "parities": parities(n, bits, fragments)}
+        c = dict(zip(("key", "record", "at", "side"), (np.concatenate([p[k] for p in all_postings]) for k in range(4))))
+        order = np.lexsort((n[c["record"]], c["key"]))
+        c = {k: v[order] for k, v in c.items()}
+        begin = 0
+        while begin < len(order):
+            # a cell isn't cut
+            stop = int(np.searchsorted(c["key"], c["key"][min(begin + ROWS, len(order)) - 1], "right"))
+            for a, b, na, nb in meetings({k: v[begin:stop] for k, v in c.items()}, records, t):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb)], names=["a", "b", "na", "nb"])
+            begin = stop
+
+    return rows.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint, na int, nb int")
 
 
 def segments(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndarray) -> DataFrame:
@@ -298,18 +399,25 @@ def segments(classes: DataFrame, width: int, levels: np.ndarray, pivots: np.ndar
 
 
 def similar_classes(versions: DataFrame, work: Workspace, width: int, threshold: str, fragments: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets of `width` consecutive words have a Jaccard similarity of `threshold`
+    """versions, a table of work, is dropped once read. Pairs (a, b) of classes whose sets of `width` consecutive words have a Jaccard similarity of `threshold`
     or more, with the sizes of both sets and of their overlap."""
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
     # ids are numbered once, as the table is written
     classes = versions.groupBy("class").agg(F.first("words").alias("words"))
     classes = work.write(classes.select(F.monotonically_increasing_id().alias("id"), "class", "words"))
+    work.drop(versions)
     counts = sketch(classes, width)
     levels = levels_of(counts)
     pivots = pivots_of(counts, levels, fragments)
-    rows = celled(postings(classes, width, levels, pivots, t), hot_grams(classes, width, counts))
-    pairs = work.write(joined(rows, fragments, t).distinct())
+    hot = hot_grams(classes, width, counts)
+    spark = classes.sparkSession
+    # the work grows with the pairs that meet, not with the rows, by whose size tasks would be merged
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = [work.write(joined(postings(classes, width, levels, pivots, hot, t, k, TURNS, parts), fragments, t, parts).distinct()) for k in range(TURNS)]
+    pairs = work.write(reduce(DataFrame.unionAll, met).distinct())
+    for m in met:
+        work.drop(m)
     paired = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     cut = work.write(segments(classes.join(paired, "id", "left_semi"), width, levels, pivots))
     # each pair's overlap counted fragment by fragment, and the partial overlaps summed
@@ -322,7 +430,10 @@ def similar_classes(versions: DataFrame, work: Workspace, width: int, threshold:
     found = work.write(summed.where(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num))
     names = classes.select("id", "class")
     out = found.join(names.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(names.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b")
-    return work.write(out.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb", "overlap"))
+    told = work.write(out.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb", "overlap"))
+    for done in (classes, pairs, cut, found):
+        work.drop(done)
+    return told
 
 
 def near_duplicates(df: DataFrame, keys: list[str], text: str, width: int = WIDTH, threshold: str = THRESHOLD, least_words: int = 0, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
@@ -331,9 +442,10 @@ def near_duplicates(df: DataFrame, keys: list[str], text: str, width: int = WIDT
     Texts that are null or have fewer than `least_words` words (or than `width`) are in no pair; records of the same
     words are one class, whose members are all similar to each other; repeated rows count once. Columns other than keys
     and text are ignored."""
-    work = Workspace(df.sparkSession, "neardup")
+    work = Workspace(df.sparkSession, "neardup", tidy=True)
     versions = work.write(versions_of(df, keys, text, max(least_words, width)))
-    return versions.select(*keys, "class").distinct(), similar_classes(versions, work, width, threshold, fragments)
+    members = work.write(versions.select(*keys, "class").distinct())
+    return members, similar_classes(versions, work, width, threshold, fragments)
 
 
 def similar_pairs(members: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:

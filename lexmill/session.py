@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +51,26 @@ def files_of(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query that runs meanwhile go as it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """Written tables of one query in the shared folder. write() cuts lineage: what follows reads files that outlive
     any executor. drop() removes a table that nothing will read again, clear() all of them; the rest goes when the driver
-    ends."""
+    ends. If tidy, the shuffle files of a write() go with its end, not when the driver happens to collect its garbage."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
         self.spark = spark
+        self.tidy = tidy
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
@@ -74,7 +89,8 @@ class Workspace:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        with shuffles_removed(self.spark) if self.tidy else nullcontext():
+            writer.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._lexmill_path = path
         return back

@@ -80,6 +80,25 @@ def test_links_have_every_record_and_groups(spark, tmp_path):
     assert rest[0].class_id == rest[1].class_id and rest[2].class_id is None
 
 
+def test_postings_of_long_texts(spark, monkeypatch):
+    """No shuffle's files outlive the call, and the bounds tell long texts of common stretches apart."""
+    random.seed(2)
+    stretches = [" ".join(f"w{random.randrange(400)}" for _ in range(8)) for _ in range(500)]
+    texts = [" ".join(random.sample(stretches, 60)) for _ in range(120)]
+    texts.append(texts[7] + " and more")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = shuffled()
+    pairs = neardup.near_duplicates(df, ["id"], "t", 3, "0.6", 12)[1]
+    assert shuffled() <= before
+    assert pairs.count() == 1
+    met, segments = [], neardup.segments
+    monkeypatch.setattr(neardup, "segments", lambda classes, *rest: met.append(classes.count()) or segments(classes, *rest))
+    neardup.near_duplicates(df, ["id"], "t", 3, "0.6", 12)
+    assert met == [2]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string")
     assert neardup.similar_pairs(*neardup.near_duplicates(df, ["id"], "t"), ["id"]).count() == 0
